@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, slices
 from .tokens import BEYOND, PIECE, byte_alphabet
 
 #: The code points with Unicode's White_Space property.
@@ -30,7 +30,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 class Bpe:
     """A vocabulary of word-end BPE, read from its JSON file: ``encode`` and ``decode`` for texts."""
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -120,7 +120,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         b = bpe(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
             ids, out = [], []
             for t in batch.column(1).to_pylist():
                 raw, text = b.both(t)
@@ -138,7 +138,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         b = bpe(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
             n, ids, out = [], [], []
             for t in batch.column(1).to_pylist():
                 raw, text = b.both(t)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_and_text, partitions
+from .common import checkpoint, id_and_text, partitions, slices
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     def run(batches):
         e = encoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
             who, piece, start, length, crc = [], [], [], [], []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(e(t).astype("<u4"), np.uint32(end)).astype("<u4")

@@ -250,18 +250,19 @@ def suffix_array(text: np.ndarray, depth: int, reached: int = 1) -> np.ndarray:
     # Where each remaining suffix falls among the sampled ones of either class.
     top = int(rank.max()) + 1
     first, second = i[i % 3 == 1], i[i % 3 == 2]
-    place = np.arange(len(zeros))
-    place += np.searchsorted(s[first] * top + rank[first + 1], s[zeros] * top + rank[zeros + 1], side="right")
+    ahead = np.searchsorted(s[first] * top + rank[first + 1], s[zeros] * top + rank[zeros + 1], side="right")
     letters = int(s.max()) + 1
     if letters * letters * top < 1 << 62:
-        place += np.searchsorted((s[second] * letters + s[second + 1]) * top + rank[second + 2], (s[zeros] * letters + s[zeros + 1]) * top + rank[zeros + 2], side="right")
+        ahead = ahead + np.searchsorted((s[second] * letters + s[second + 1]) * top + rank[second + 2], (s[zeros] * letters + s[zeros + 1]) * top + rank[zeros + 2], side="right")
     else:
         both = np.concatenate((second, zeros))
         o = np.lexsort((np.arange(len(both)), rank[both + 2], s[both + 1], s[both]))
         seen = np.cumsum(o < len(second))
         found = np.empty(len(both), np.int64)
         found[o] = seen
-        place += np.sort(found[len(second) :])
+        ahead = ahead + np.sort(found[len(second) :])
+    # Suffixes that agree on `depth` letters may come in any order; the maximum keeps places distinct then.
+    place = np.arange(len(zeros)) + np.maximum.accumulate(ahead) if len(zeros) else zeros
     out = np.empty(n, np.int64)
     taken = np.zeros(n, bool)
     taken[place] = True
