@@ -74,7 +74,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.98, round
             one = (post @ v + 0.5) / (post.sum() + 1.0)
             zero = ((1 - post) @ v + 0.05) / ((1 - post).sum() + 1.0)
             zero = np.minimum(zero, one)  # a voter never speaks against its class
-            log = np.log(prior / (1 - prior)) + np.where(given, 1, -1) * np.log(trust / (1 - trust)) + v @ (share * np.log(one / zero)) + (1 - v) @ (share * np.log((1 - one) / (1 - zero)))
+            log = np.log(prior / (1 - prior)) + np.where(given, 1, -1) * np.log(trust / (1 - trust)) + v @ (share * np.log(one / zero))  # a voter that does not fire abstains
             new = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
             done = np.abs(new - post).max() < 1e-4
             post = new
