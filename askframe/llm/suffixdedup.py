@@ -34,15 +34,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import checkpoint, id_and_text, partitions, slices, text_bytes
 
 WINDOW = 100
 GRAM = 32
 MOST = 1000
 SLICE = 1 << 20
+BLOCK = 1 << 20
 FLUSH = 400_000
 FULL, SORT, SPREAD = 0, 1, 2
 ENTRY = np.dtype([("start", "<u4"), ("run", "u1"), ("kind", "u1"), ("anchor", "<u8")])
+PLACED = np.dtype([("doc", "<i8"), *((n, ENTRY[n]) for n in ENTRY.names)])
 _BASE = 0x9E3779B97F4A7C15 | 5
 _MASK = (1 << 64) - 1
 
@@ -166,19 +169,39 @@ def _deal(owners: int, doc, start, run, anchor, content):
         yield int(o), _pack(doc[i], start[i], marked[i], anchor[i], content[i])
 
 
-def _by_doc(doc: np.ndarray, entries: np.ndarray) -> pa.Table:
-    """A row for each document: its entries, and whether any has to be fetched."""
-    order = np.argsort(doc, kind="stable")
-    doc, entries = doc[order], entries[order]
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    parts = np.split(entries, cut) if len(doc) else []
-    return pa.table({"doc_id": pa.array(doc[np.concatenate(([0], cut))] if len(doc) else doc, pa.int64()), "entries": pa.array([p.tobytes() for p in parts], pa.binary()), "fetch": pa.array([bool((p["kind"] != FULL).any()) for p in parts], pa.bool_())})
+def _parts(doc: np.ndarray, entries: np.ndarray, parts: int) -> pa.Table:
+    """A row for each part of the documents: the entries of its documents."""
+    placed = np.empty(len(doc), PLACED)
+    placed["doc"] = doc
+    for n in ENTRY.names:
+        placed[n] = entries[n]
+    part = (_mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((doc, part))
+    placed, part = placed[order], part[order]
+    edge = np.searchsorted(part, np.arange(parts + 1))
+    own = np.flatnonzero(np.diff(edge))
+    return pa.table({"part": pa.array(own, pa.int32()), "blob": pa.array([placed[edge[o] : edge[o + 1]].tobytes() for o in own], pa.binary())})
+
+
+_PARTS = "part int, blob binary"
+
+
+def _merge(table):
+    """A row for each document of a part: its entries from everywhere, and whether any has to be fetched."""
+    placed = np.concatenate([np.frombuffer(b, PLACED) for b in table.column("blob").to_pylist()])
+    placed = placed[np.argsort(placed["doc"], kind="stable")]
+    cut = np.flatnonzero(np.diff(placed["doc"])) + 1
+    entries = np.empty(len(placed), ENTRY)
+    for n in ENTRY.names:
+        entries[n] = placed[n]
+    fetch = np.logical_or.reduceat(placed["kind"] != FULL, np.concatenate(([0], cut)))
+    return pa.table({"doc_id": placed["doc"][np.concatenate(([0], cut))], "entries": pa.array([x.tobytes() for x in np.split(entries, cut)], pa.binary()), "fetch": fetch})
 
 
 _BY_DOC = "doc_id long, entries binary, fetch boolean"
 
 
-def _decide(table: pa.Table, most: int) -> pa.Table:
+def _decide(table: pa.Table, most: int, parts: int) -> pa.Table:
     """What the owner of some anchors finds: repeats in full, and segments to be sorted."""
     doc, start, run, anchor, content = (np.concatenate(x) for x in zip(*map(_unpack, table.column("blob").to_pylist()), strict=True))
     repeat = run >= 128
@@ -210,7 +233,7 @@ def _decide(table: pa.Table, most: int) -> pa.Table:
     every = np.concatenate((i, rest))
     out["start"], out["run"], out["anchor"] = start[every], run[every], anchor[every]
     out["kind"][: len(i)] = kind
-    return _by_doc(doc[every], out)
+    return _parts(doc[every], out, parts)
 
 
 def _lex(*keys: np.ndarray) -> np.ndarray:
@@ -224,13 +247,17 @@ def _lex(*keys: np.ndarray) -> np.ndarray:
     return np.argsort(word, kind="stable")
 
 
+def _pair(high: np.ndarray, low: np.ndarray, base: int) -> np.ndarray:
+    return high.astype(np.int64) * base + low
+
+
 def suffix_array(text: np.ndarray, depth: int, reached: int = 1) -> np.ndarray:
     """Starts of the suffixes of ``text`` (positive integers) in the order of their first ``depth`` letters of the outermost
     text, by the difference cover {1, 2} modulo 3; ``reached`` letters of that text make one letter here."""
     n = len(text)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
-    s = np.concatenate((text, np.zeros(4, np.int64)))
+    s = np.concatenate((text, np.zeros(4, np.int32))).astype(np.int32, copy=False)
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate((ones, twos))
     order = _lex(s[sample], s[sample + 1], s[sample + 2])
@@ -239,10 +266,10 @@ def suffix_array(text: np.ndarray, depth: int, reached: int = 1) -> np.ndarray:
     new[1:] = (s[i[1:]] != s[i[:-1]]) | (s[i[1:] + 1] != s[i[:-1] + 1]) | (s[i[1:] + 2] != s[i[:-1] + 2])
     names = np.cumsum(new)
     if names[-1] < len(i) and 3 * reached < depth:
-        named = np.empty(len(sample), np.int64)
+        named = np.empty(len(sample), np.int32)
         named[order] = names
         i = sample[suffix_array(named, depth, 3 * reached)]
-    rank = np.zeros(n + 4, np.int64)
+    rank = np.zeros(n + 4, np.int32)
     rank[i] = np.arange(1, len(i) + 1)
     i = i[i < n]
     zeros = np.arange(0, n, 3)
@@ -250,10 +277,10 @@ def suffix_array(text: np.ndarray, depth: int, reached: int = 1) -> np.ndarray:
     # Where each remaining suffix falls among the sampled ones of either class.
     top = int(rank.max()) + 1
     first, second = i[i % 3 == 1], i[i % 3 == 2]
-    ahead = np.searchsorted(s[first] * top + rank[first + 1], s[zeros] * top + rank[zeros + 1], side="right")
+    ahead = np.searchsorted(_pair(s[first], rank[first + 1], top), _pair(s[zeros], rank[zeros + 1], top), side="right")
     letters = int(s.max()) + 1
     if letters * letters * top < 1 << 62:
-        ahead = ahead + np.searchsorted((s[second] * letters + s[second + 1]) * top + rank[second + 2], (s[zeros] * letters + s[zeros + 1]) * top + rank[zeros + 2], side="right")
+        ahead = ahead + np.searchsorted(_pair(_pair(s[second], s[second + 1], letters), rank[second + 2], top), _pair(_pair(s[zeros], s[zeros + 1], letters), rank[zeros + 2], top), side="right")
     else:
         both = np.concatenate((second, zeros))
         o = np.lexsort((np.arange(len(both)), rank[both + 2], s[both + 1], s[both]))
@@ -288,7 +315,7 @@ def _sort_family(doc, start, run, bodies: list[bytes], window: int):
     raw = b"\0".join(bodies) + b"\0" * 8
     data = np.frombuffer(raw, np.uint8)
     begin = np.cumsum(size + 1) - (size + 1)
-    text = data[: len(data) - 8].astype(np.int64) + 1
+    text = data[: len(data) - 8].astype(np.int32) + 1
     seg = np.repeat(np.arange(len(run)), run)
     off = np.arange(len(seg)) - np.repeat(np.cumsum(run) - run, run)
     window_of = np.full(len(text) + 1, -1, np.int64)
@@ -312,7 +339,7 @@ def _sort_family(doc, start, run, bodies: list[bytes], window: int):
     return seg[order[repeat]], off[order[repeat]]
 
 
-def _runs(doc: np.ndarray, start: np.ndarray) -> pa.Table:
+def _runs(doc: np.ndarray, start: np.ndarray, parts: int) -> pa.Table:
     """Entries of single windows, successive ones joined."""
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
@@ -325,7 +352,7 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> pa.Table:
     out = np.zeros(len(piece), ENTRY)
     out["start"] = np.repeat(start[first], times) + 127 * piece
     out["run"] = np.minimum(127, np.repeat(long, times) - 127 * piece)
-    return _by_doc(np.repeat(doc[first], times), out)
+    return _parts(np.repeat(doc[first], times), out, parts)
 
 
 def _ship(owners: int, window: int):
@@ -365,7 +392,7 @@ def _ship(owners: int, window: int):
                     octets = np.frombuffer(raw, np.uint8)
                     spread.append((np.full(len(at), d), at, Rolling(octets).of(at, at + window), Rolling(octets, _BASE ^ 0x5DEECE66C).of(at, at + window)))
                     size += 24 * len(at)
-                if size > 8 * SLICE:
+                if size > 8 << 20:
                     yield rows(held, spread)
                     held, spread, size = [], [], 0
         if held or spread:
@@ -374,7 +401,7 @@ def _ship(owners: int, window: int):
     return run
 
 
-def _sort(window: int, block: int = SLICE):
+def _sort(window: int, parts: int, block: int = BLOCK):
     """Sort the families of a bucket, some at a time, and settle the windows that came by their fingerprints."""
 
     def run(key, table):
@@ -413,14 +440,14 @@ def _sort(window: int, block: int = SLICE):
             every = np.concatenate((left[more], np.flatnonzero(repeat)))
             out_doc.append(doc[every])
             out_start.append(start[every].astype(np.int64))
-        return _runs(np.concatenate(out_doc), np.concatenate(out_start))
+        return _runs(np.concatenate(out_doc), np.concatenate(out_start), parts)
 
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """For documents (doc_id, text) that repeat something: doc_id and lists of entries, the starts of repeating windows."""
-    owners = partitions(docs.sparkSession)
+def _found(known: DataFrame, window: int, gram: int, most: int) -> DataFrame:
+    """What the owners of anchors decide, a row for each document that has any entry."""
+    owners = partitions(known.sparkSession)
 
     def anchors(batches):
         def flush(held):
@@ -440,12 +467,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int =
             if count:
                 yield flush(held)
 
-    known = docs.where("doc_id is not null")
     sent = known.mapInArrow(anchors, "owner int, blob binary")
-    found = checkpoint(sent.groupBy("owner").applyInArrow(lambda table: _decide(table, most), _BY_DOC))
-    lists = found.where("fetch").groupBy("doc_id").agg(F.collect_list("entries").alias("lists"))
-    fetched = known.join(lists, "doc_id").select("doc_id", "text", "lists").mapInArrow(_ship(owners, window), "bucket int, kind int, head binary, body binary")
-    settled = fetched.groupBy("bucket").applyInArrow(_sort(window), _BY_DOC)
+    decided = sent.groupBy("owner").applyInArrow(lambda table: _decide(table, most, owners), _PARTS)
+    return checkpoint(decided.groupBy("part").applyInArrow(_merge, _BY_DOC))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """For documents (doc_id, text) that repeat something: doc_id and lists of entries, the starts of repeating windows."""
+    owners = partitions(docs.sparkSession)
+    known = docs.where("doc_id is not null")
+    found = _found(known, window, gram, most)
+    fetched = known.join(found.where("fetch"), "doc_id").select("doc_id", "text", F.array("entries").alias("lists"), *known.columns[2:]).mapInArrow(_ship(owners, window), "bucket int, kind int, head binary, body binary")
+    settled = fetched.groupBy("bucket").applyInArrow(_sort(window, owners), _PARTS).groupBy("part").applyInArrow(_merge, _BY_DOC)
     return found.unionByName(settled).groupBy("doc_id").agg(F.collect_list("entries").alias("lists"))
 
 
@@ -461,9 +494,13 @@ def _removed(size: int, lists, window: int) -> np.ndarray:
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, texts: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` kept_text too, in which a
-    character that lost some of its bytes is left out."""
-    docs = id_and_text(docs)
-    joined = docs.join(repeats(docs, window, gram, most), "doc_id", "left").select("doc_id", "text", "lists")
+    character that lost some of its bytes is left out, and ``row``, a struct of all columns of ``docs`` but the text."""
+    ship(docs.sparkSession)
+    others = [docs[c] for c in docs.columns if c != "text"] if texts else []
+    docs = id_and_text(docs) if not texts else docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.struct(*others).alias("row"))
+    # The same exchange of texts serves the fetching of segments and this join: both start from the same rows.
+    joined = docs.where("doc_id is not null").join(repeats(docs, window, gram, most), "doc_id", "left").select("doc_id", "text", "lists", *docs.columns[2:])
+    joined = joined.unionByName(docs.where("doc_id is null").withColumn("lists", F.lit(None).cast("array<binary>")))
 
     def run(batches):
         for batch in batches:
@@ -479,6 +516,18 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
                 for c, v in zip(cols, (off[k + 1] - off[k], removed, spans, hashlib.sha256(raw).hexdigest(), raw.decode("utf-8", "ignore") if texts else None), strict=True):
                     c.append(v)
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[4], pa.string())] * texts, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * texts)
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if texts:
+                arrays, names = [*arrays, pa.array(cols[4], pa.string()), batch.column(3)], [*names, "kept_text", "row"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return joined.mapInArrow(run, f"{kinds}, kept_text string, row {docs.schema['row'].dataType.simpleString()}" if texts else kinds)
+
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their repeated passages removed from text, and n_chars, where there is one, counted anew."""
+    out = removals(docs, texts=True)
+    length = F.char_length("kept_text").cast("long")
+    picked = [F.col("kept_text").alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(*picked)
