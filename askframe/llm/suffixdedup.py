@@ -40,8 +40,8 @@ from .common import checkpoint, id_and_text, partitions, slices, text_bytes
 WINDOW = 100
 GRAM = 32
 MOST = 1000
-SLICE = 1 << 20
-BLOCK = 1 << 20
+SLICE = 1 << 19
+BLOCK = 1 << 18
 FLUSH = 400_000
 FULL, SORT, SPREAD = 0, 1, 2
 ENTRY = np.dtype([("start", "<u4"), ("run", "u1"), ("kind", "u1"), ("anchor", "<u8")])
