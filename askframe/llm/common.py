@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -48,6 +50,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nobody holds any more.  Its cleaner acts when the driver's garbage is
+    collected, which a driver with little to do may put off until the disks are full."""
+    for _ in range(2):  # first the driver's handles go, which happens in the background, then what they held
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/askframe-{uuid.uuid4().hex}"

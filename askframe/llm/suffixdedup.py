@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import checkpoint, id_and_text, partitions, slices, text_bytes
+from .common import checkpoint, id_and_text, partitions, release, slices, text_bytes
 
 WINDOW = 100
 GRAM = 32
@@ -477,6 +477,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int =
     owners = partitions(docs.sparkSession)
     known = docs.where("doc_id is not null")
     found = _found(known, window, gram, most)
+    release(docs.sparkSession)  # the anchors' exchange is over
     fetched = known.join(found.where("fetch"), "doc_id").select("doc_id", "text", F.array("entries").alias("lists"), *known.columns[2:]).mapInArrow(_ship(owners, window), "bucket int, kind int, head binary, body binary")
     settled = fetched.groupBy("bucket").applyInArrow(_sort(window, owners), _PARTS).groupBy("part").applyInArrow(_merge, _BY_DOC)
     return found.unionByName(settled).groupBy("doc_id").agg(F.collect_list("entries").alias("lists"))
