@@ -1,0 +1 @@
+"""From a question to rows and scores: prompts, generators, execution, repair, translation, evaluation."""

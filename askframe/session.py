@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -36,3 +36,11 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut a lineage: a reliable checkpoint in the shared folder (spark.checkpoint.dir, a temporary one where unset)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="askframe-"))
+    return df.checkpoint(eager=True)
