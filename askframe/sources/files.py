@@ -35,7 +35,7 @@ def _struct() -> str:
 
 def write_results(scores: DataFrame, metrics: DataFrame, path: str) -> None:
     """One JSON document {metrics, predictions} in the folder ``path``; the document is built by Spark, in one row."""
-    predictions = scores.agg(F.array_sort(F.collect_list(F.struct(*scores.columns))).alias("predictions"))
+    predictions = scores.agg(F.array_sort(F.collect_list(F.struct(*scores.columns)), lambda a, b: a["index"] - b["index"]).alias("predictions"))
     metrics.agg(F.first(F.struct(*metrics.columns)).alias("metrics")).crossJoin(predictions).coalesce(1).write.mode("overwrite").json(path)
 
 
