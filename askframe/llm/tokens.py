@@ -1,7 +1,7 @@
 """Encoding with the tokenizers library, fast enough for whole corpora.
 
 A text is cut where the tokenizer's own pre-tokenizer cuts it, and each distinct piece goes through the library's model
-once, then comes from a bounded cache.  Texts with characters beyond Latin script or with a special token's string take
+once, then comes from a bounded cache.  Texts with characters beyond U+0239 or with a special token's string take
 the library's whole pipeline instead, so ids never differ from ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 """
 
@@ -12,12 +12,13 @@ from functools import lru_cache
 
 import numpy as np
 
-#: The letters, digits and white space below U+0250 as the tokenizer's Unicode classes have them.
-LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: The letters, digits and white space that characters up to U+0239 and their lower case (up to U+02AF) have
+#: in the tokenizer's Unicode classes.
+LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af"
 DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACES = "\t-\r \x85\xa0"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
-BEYOND = re.compile("[^\x00-\u024f]")
+BEYOND = re.compile("[^\x00-\u0239]")
 
 
 def byte_alphabet() -> list[str]:
