@@ -474,6 +474,8 @@ def _found(known: DataFrame, window: int, gram: int, most: int) -> DataFrame:
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """For documents (doc_id, text) that repeat something: doc_id and lists of entries, the starts of repeating windows."""
+    if not 8 <= gram <= window <= gram + 126:
+        raise ValueError("a window must be longer than its grams by 126 bytes at most")
     owners = partitions(docs.sparkSession)
     known = docs.where("doc_id is not null")
     found = _found(known, window, gram, most)
