@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sqltext import content_hash
 
-PREDICTION = "index int, db_id string, question string, predicted string, gold string, exact_match boolean, exec_match boolean, skeleton_match boolean, component_scores map<string,boolean>, complexity string, error_msg string"
+PREDICTION = "index long, db_id string, question string, predicted string, gold string, exact_match boolean, exec_match boolean, skeleton_match boolean, component_scores map<string,boolean>, complexity string, error_msg string"
 
 
 def read_questions(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def _struct() -> str:
 
 def write_results(scores: DataFrame, metrics: DataFrame, path: str) -> None:
     """One JSON document {metrics, predictions} in the folder ``path``; the document is built by Spark, in one row."""
-    predictions = scores.agg(F.array_sort(F.collect_list(F.struct(*scores.columns)), lambda a, b: a["index"] - b["index"]).alias("predictions"))
+    predictions = scores.agg(F.array_sort(F.collect_list(F.struct(*scores.columns)), lambda a, b: F.when(a["index"] < b["index"], -1).when(a["index"] > b["index"], 1).otherwise(0)).alias("predictions"))
     metrics.agg(F.first(F.struct(*metrics.columns)).alias("metrics")).crossJoin(predictions).coalesce(1).write.mode("overwrite").json(path)
 
 
@@ -48,6 +48,12 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def append_log(records: DataFrame, path: str) -> None:
     """Append records as JSON lines."""
     records.write.mode("append").json(path)
@@ -94,5 +100,4 @@ class EmbeddingCache:
         return self.spark.read.parquet(path)
 
     def invalidate(self, name: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(self.spark, f"{self.folder}/{name}")
