@@ -127,7 +127,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int = VOTERS) -> Model:
-    got = training_rows(docs, labels, sample).orderBy("words", "toxic").collect()  # bounded by `sample`
+    got = sorted(training_rows(docs, labels, sample).collect(), key=lambda r: (r.words, r.toxic))  # bounded by `sample`
     toxic = np.array([r.toxic == 1 for r in got])
     if not toxic.any() or toxic.all():
         return Model()
