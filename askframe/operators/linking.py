@@ -105,6 +105,17 @@ def partial_values(questions: DataFrame, values: DataFrame) -> DataFrame:
     return hit.join(exact, hit.columns, "left_anti").withColumn("score", F.lit(PARTIAL))
 
 
+def legacy_values(questions: DataFrame, values: DataFrame) -> DataFrame:
+    """The substring rule: a value anywhere in the question's text scores 1, one that holds or is held by a token of more than
+    two letters 0.8.  It makes any short value a hit, and compares each question with every value of its database; kept to
+    reproduce old scores."""
+    q = questions.select("question_id", "db_id", normalise("question").alias("text"), F.filter(tokens("question"), lambda t: F.length(t) > 2).alias("words"))
+    v = values.withColumn("key", normalise("value")).where("key <> ''")
+    near = F.exists("words", lambda t: t.contains(F.col("key")) | F.col("key").contains(t))
+    scored = q.join(v, "db_id").withColumn("score", F.when(F.col("text").contains(F.col("key")), F.lit(1.0)).when(near, F.lit(PARTIAL)))
+    return scored.where("score is not null").select("question_id", "db_id", "table_name", "col_name", "value", "score")
+
+
 def fuzzy_values(questions: DataFrame, values: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Values that resemble a token.  Candidates share a letter pair and have lengths between which the threshold can hold at
     all (ratio <= 2 min / (min + max)); only they are compared in full."""
@@ -122,7 +133,7 @@ def fuzzy_values(questions: DataFrame, values: DataFrame, threshold: float = 0.8
     return scored.groupBy("question_id", "db_id", "table_name", "col_name", "value").agg(F.max("score").alias("score"))
 
 
-def match_values(questions: DataFrame, values: DataFrame, threshold: float = 0.8, top_k: int = 3, dictionary: DataFrame | None = None) -> DataFrame:
+def match_values(questions: DataFrame, values: DataFrame, threshold: float = 0.8, top_k: int = 3, dictionary: DataFrame | None = None, legacy: bool = False) -> DataFrame:
     """The best values of each column for each question, by exact, partial and fuzzy match; with ``dictionary`` (source,
     target) also for the question's translated candidates.  Of a value's scores the largest counts."""
     asked = questions
@@ -132,7 +143,8 @@ def match_values(questions: DataFrame, values: DataFrame, threshold: float = 0.8
         c = questions.select("question_id", "db_id", F.explode(value_candidates("question")).alias("c"))
         d = dictionary.select(F.lower("source").alias("k"), "target")
         asked = questions.select("question_id", "db_id", "question").unionByName(c.join(d, F.lower("c") == F.col("k")).select("question_id", "db_id", F.col("target").alias("question")))
-    hits = exact_values(asked, values).unionByName(partial_values(asked, values)).unionByName(fuzzy_values(asked, values, threshold))
+    named = legacy_values(asked, values) if legacy else exact_values(asked, values).unionByName(partial_values(asked, values))
+    hits = named.unionByName(fuzzy_values(asked, values, threshold))
     merged = hits.groupBy("question_id", "db_id", "table_name", "col_name", "value").agg(F.max("score").alias("score"))
     return top_k_per_group(merged, ["question_id", "db_id", "table_name", "col_name"], [F.col("score").desc(), F.col("value")], top_k, "rank")
 

@@ -98,6 +98,14 @@ def cell_match_partial(spark, sf):
     return linking.partial_values(fixtures.questions(spark), values(spark, sf))
 
 
+_NEAR = f"len(list_filter({_WORDS}, lambda t: contains(t, {_KEY}) OR contains({_KEY}, t))) > 0"
+
+
+@query(f"SELECT * FROM (SELECT question_id, q.db_id, table_name, col_name, value, CASE WHEN contains({_QN}, {_KEY}) THEN 1.0::DOUBLE WHEN {_NEAR} THEN 0.8::DOUBLE END AS score FROM {fixtures.QUESTIONS_SQL} q JOIN ({_VALUES}) v ON {_KEY} <> '') WHERE score IS NOT NULL")
+def cell_match_legacy(spark, sf):
+    return linking.legacy_values(fixtures.questions(spark), values(spark, sf))
+
+
 @query()
 def cell_match_fuzzy(spark, sf):
     return linking.fuzzy_values(fixtures.questions(spark), values(spark, sf))
