@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -135,30 +135,37 @@ def score_texts(model: Model, hashes: int, data: np.ndarray, off: np.ndarray) ->
     return best, np.clip(value, 0, 1)
 
 
-def identify(docs: DataFrame, model: Model, hashes: int = HASHES) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score."""
+def verdict(model: Model, docs: DataFrame, hashes: int = HASHES) -> Column:
+    """The column (lang_pred, score) of the texts of ``docs``: only texts go to Python and only verdicts come back."""
     ship(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)  # bounded: rows of the filter, whatever the corpus
 
-    def run(batches):
+    def judge(part: pa.RecordBatch) -> pa.Array:
         model = given.value
         names = np.array([*model.languages, UNKNOWN], object)
-        for batch in (part for whole in batches for part in slices(whole, 2 << 20, 2)):
-            data, off = text_bytes(batch.column(2))
-            letter = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))))
-            has = letter[off[1:]] > letter[off[:-1]]
-            for k in np.flatnonzero(~has & (np.diff(off) > 0)):
-                has[k] = any(c.isalpha() for c in batch.column(2)[int(k)].as_py())
-            if model.languages:
-                best, value = score_texts(model, hashes, data, off)
-            else:
-                best, value = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-            best = np.where(has, best, len(model.languages))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(np.where(has, value, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+        data, off = text_bytes(part.column(0))
+        letter = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))))
+        has = letter[off[1:]] > letter[off[:-1]]
+        for k in np.flatnonzero(~has & (np.diff(off) > 0)):
+            has[k] = any(c.isalpha() for c in part.column(0)[int(k)].as_py())
+        best, value = score_texts(model, hashes, data, off) if model.languages else (np.zeros(len(has), int), np.zeros(len(has)))
+        best = np.where(has, best, len(model.languages))
+        return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(np.where(has, value, 0.0))], ["lang_pred", "score"])
+
+    def run(texts):
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [judge(part) for part in slices(batch, 2 << 20, 0)]
+        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return F.arrow_udf(run, "lang_pred string, score double", F.ArrowUDFType.SCALAR)(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
+
+def identify(docs: DataFrame, model: Model, hashes: int = HASHES) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score."""
     crc = F.crc32(docs["doc_id"].cast("string").cast("binary"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(crc % FOLDS == HELD_OUT, F.lit(False)).alias("held_out"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(crc % FOLDS == HELD_OUT, F.lit(False)).alias("held_out"), verdict(model, docs, hashes).alias("v"))
+    return rows.select("doc_id", "held_out", "v.lang_pred", "v.score")
 
 
 def language_ids(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -167,7 +174,7 @@ def language_ids(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents whose language is known: not ``und``, and at least ``least`` of the n-grams are the language's."""
-    found = language_ids(docs)
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents whose language is known: not ``und``, and at least ``least`` of the n-grams are the language's.  A filter
+    where the rows are; nothing is shuffled."""
+    v = verdict(fit(docs), docs)
+    return docs.where((v["lang_pred"] != UNKNOWN) & (v["score"] >= least))

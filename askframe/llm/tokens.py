@@ -31,7 +31,7 @@ def byte_alphabet() -> list[str]:
 class Encoder(dict):
     """Piece -> its ids as little-endian bytes; pieces not yet seen are encoded by the library's model."""
 
-    def __init__(self, path: str, most: int = 120_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
