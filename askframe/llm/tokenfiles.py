@@ -28,17 +28,18 @@ def encoded(docs: DataFrame, path: str, end: int = END, most: int = 1 << 20) ->
 
     def run(batches):
         e = encoder(path)
+        last, width = end.to_bytes(e.dtype.itemsize, "little"), e.dtype.itemsize
         for batch in batches:
             start, ids, held = 0, [], 0
             texts = batch.column(1)
             for i in range(batch.num_rows):
-                own = np.append(e(texts[i].as_py()).astype(np.int32), np.int32(end))
-                ids.append(own)
-                held += len(own)
+                ids.append(e.raw(texts[i].as_py()) + last)
+                held += len(ids[-1]) // width
                 if held >= most or i == batch.num_rows - 1:
                     lengths = np.zeros(len(ids) + 1, np.int32)
-                    np.cumsum([len(x) for x in ids], out=lengths[1:])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
+                    np.cumsum([len(x) // width for x in ids], out=lengths[1:])
+                    flat = np.frombuffer(b"".join(ids), e.dtype).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], ["doc_id", "ids"])
                     start, ids, held = i + 1, [], 0
 
     return docs.mapInArrow(run, SCHEMA)

@@ -41,9 +41,13 @@ class Encoder(dict):
         self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.bytes_of = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.whole.get_vocab_size())]
         self.alphabet = byte_alphabet()
         self.most, self.older = most, {}
 
+    def pack(self, *ids: int) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:  # two generations: pieces in use move over, the rest go
             self.older = dict(self)
@@ -51,15 +55,19 @@ class Encoder(dict):
         ids = self.older.get(piece)
         if ids is None:
             symbols = piece if piece.isascii() and piece.isprintable() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(symbols)], self.dtype).tobytes()
+            ids = self.pack(*[t.id for t in self.model.tokenize(symbols)])
         self[piece] = ids
         return ids
 
+    def raw(self, text: str) -> bytes:
+        """The ids of a text as little-endian integers of ``dtype``."""
+        if (not text.isascii() and BEYOND.search(text)) or any(s in text for s in self.special):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return b"".join(map(self.__getitem__, PIECE.findall(text.lower())))
+
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text."""
-        if (not text.isascii() and BEYOND.search(text)) or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
-        return np.frombuffer(b"".join(map(self.__getitem__, PIECE.findall(text.lower()))), self.dtype)
+        return np.frombuffer(self.raw(text), self.dtype)
 
 
 @lru_cache(maxsize=2)
