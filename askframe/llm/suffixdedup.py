@@ -501,7 +501,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
     ship(docs.sparkSession)
     others = [docs[c] for c in docs.columns if c != "text"] if texts else []
     docs = id_and_text(docs) if not texts else docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.struct(*others).alias("row"))
-    # The same exchange of texts serves the fetching of segments and this join: both start from the same rows.
+    # Texts are dealt out by doc_id twice, here and where segments are fetched; both exchanges together are about twice the input.
     joined = docs.where("doc_id is not null").join(repeats(docs, window, gram, most), "doc_id", "left").select("doc_id", "text", "lists", *docs.columns[2:])
     joined = joined.unionByName(docs.where("doc_id is null").withColumn("lists", F.lit(None).cast("array<binary>")))
 
