@@ -62,6 +62,8 @@ def shortest_paths(graph: DataFrame, pairs: DataFrame, longest: int = 6) -> Data
         there = ahead.where(F.element_at("path", -1) == F.col("dst"))
         done.append(there.withColumn("hops", F.lit(h)))
         walks = ahead.join(there.select("db_id", "src", "dst").distinct(), ["db_id", "src", "dst"], "left_anti")
+        if walks.isEmpty():  # every pair is done
+            break
     return reduce(DataFrame.unionByName, done)
 
 
