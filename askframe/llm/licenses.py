@@ -1,7 +1,8 @@
 """Licence scans by ordered signature rules, in DataFrame functions alone.
 
-Rules are regular expressions over a text's words, made from licence names and wordings.  Only texts that mention "licen"
-are scanned (a byte search decides); each rule is then gated by its keyword.  Detections are intervals of
+Rules are regular expressions over a text's words, made from licence names and wordings.  Only texts with what
+some wording has whatever the name ("licen", "released under" and the like, "terms of the") are scanned; each rule is then
+gated by its keyword.  Detections are intervals of
 words: sorted by start, the longer and then the higher priority first, one that another contains is suppressed.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.  Base detections are places where a
@@ -81,7 +82,8 @@ WORDINGS = (
 )
 
 #: What a text must contain, in any case, to be scanned for phrases and rules at all.
-GATE = "licen"
+_GAP = "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
+GATE = f"licen|(?:released|distributed|available|provided|covered){_GAP}under|terms{_GAP}(?:and{_GAP}conditions{_GAP})?of{_GAP}the"
 
 
 def rules() -> list[tuple[str, str, int, str]]:
