@@ -174,7 +174,7 @@ def language_ids(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents whose language is known: not ``und``, and at least ``least`` of the n-grams are the language's.  A filter
-    where the rows are; nothing is shuffled."""
+    """The documents whose language is known: not ``und``, and at least ``least`` of the n-grams are the language's; texts too
+    short for an n-gram leave nothing to measure and stay unless ``und``.  A filter where the rows are; nothing is shuffled."""
     v = verdict(fit(docs), docs)
-    return docs.where((v["lang_pred"] != UNKNOWN) & (v["score"] >= least))
+    return docs.where((v["lang_pred"] != UNKNOWN) & ((v["score"] >= least) | (F.octet_length(docs["text"].cast("string")) < GRAM)))

@@ -1,6 +1,6 @@
 """Cases of the first review that the other tests do not have."""
 
-from askframe.llm import licenses
+from askframe.llm import langid, licenses
 
 
 def test_wordings_without_licen(spark):
@@ -8,3 +8,10 @@ def test_wordings_without_licen(spark):
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     got = {r["doc_id"]: (r["labels"], r["detections"]) for r in licenses.scan(df).collect()}
     assert got == {0: ("gpl", 1), 1: ("apache", 1), 2: ("epl", 1), 3: ("mit", 1), 4: ("", 0)}
+
+
+def test_short_texts_of_a_language_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    made = spark.createDataFrame([(10**6, "Re.", "en"), (10**6 + 1, "A.", "en"), (10**6 + 2, "1.", "en"), (10**6 + 3, None, "en"), (10**6 + 4, "", "en")], docs.schema)
+    kept = langid.keep_known(docs.unionByName(made)).where("doc_id >= 1000000")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [10**6, 10**6 + 1]
