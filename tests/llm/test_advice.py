@@ -1,6 +1,6 @@
 """Cases of the first review that the other tests do not have."""
 
-from askframe.llm import langid, licenses
+from askframe.llm import exactdedup, langid, licenses
 
 
 def test_wordings_without_licen(spark):
@@ -15,3 +15,12 @@ def test_short_texts_of_a_language_stay(spark, sf):
     made = spark.createDataFrame([(10**6, "Re.", "en"), (10**6 + 1, "A.", "en"), (10**6 + 2, "1.", "en"), (10**6 + 3, None, "en"), (10**6 + 4, "", "en")], docs.schema)
     kept = langid.keep_known(docs.unionByName(made)).where("doc_id >= 1000000")
     assert sorted(r["doc_id"] for r in kept.collect()) == [10**6, 10**6 + 1]
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "some words", "a"), (1, "some words", "a"), (1, "some  words", "b"), (2, "other words", "a"), (2, "more words", "a"), (3, "somewords", "a"), (4, None, "a"), (4, "", "a"), (None, "none", "a"), (None, "none", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = exactdedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect())
+    assert got == [(0, "none"), (0, "none"), (1, "some  words"), (2, "more words"), (2, "other words"), (4, "")]
