@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -26,17 +26,47 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+#: Rows of (doc_id, text key) that are broadcast at most; larger tables are joined by a shuffle.
+FEW = 250_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A table for the right side of a join: broadcast if a count shows that it is small, else left to a shuffle."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def text_key(docs: DataFrame) -> Column:
+    """A hash of a row's whole text; with doc_id it tells rows apart, so that rows that repeat a doc_id with another text are rows
+    of their own."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def one_of_each(docs: DataFrame, gone: DataFrame, twice: DataFrame, key: Column, order: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` without those in ``gone``, and of those in ``twice`` one each, the first by ``order``.  Both tables
+    have columns id and key, which name rows by doc_id and ``key``; rows without a doc_id all stay."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), key.alias("key"), (F.lit(0) if order is None else order).alias("order"))
+    rows = rows.join(small(gone), ["id", "key"], "left_anti")
+    if twice.isEmpty():
+        return rows.select("row.*")
+    twice = small(twice)
+    again = rows.join(twice, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.max_by("row", "order").alias("row"))
+    return rows.join(twice, ["id", "key"], "left_anti").select("row.*").unionByName(again.select("row.*"))
+
+
 def partitions(spark: SparkSession) -> int:
     """How many tasks an exchange deals to: the session's setting, which the operator of a cluster sizes to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """A folder that driver and executors share: spark.checkpoint.dir.  Where that is unset a temporary one serves a local master;
+    on a cluster it is an error, since a machine's own folder is no shared one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="askframe-")
         spark.sparkContext.setCheckpointDir(base)
     return base

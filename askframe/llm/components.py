@@ -1,7 +1,12 @@
 """Connected components of a distributed edge list: alternating large and small stars, checkpointed each round.
 
-Labels move by one aggregation and one join a step; no neighbourhood is gathered in one place, and the join is one whose
-large partitions adaptive execution can split.
+Labels move by one aggregation and one join a step; no neighbourhood is gathered in one place.  A hub (the centre of a star
+with very many leaves) would put its edges on one key: keys with more rows than ``hot`` go through a broadcast join instead,
+and by the choice of ``hot`` there are never more than 10,000 of them.
+
+Large and small star alternation settles in O(log n) rounds in practice (a path of 2 ** 40 nodes would need some 60), so the
+guard of 60 rounds is never met by data that fit on any disk.  Defined results: an empty list gives an empty table; loops,
+repeated edges and edges with a null end are ignored; nodes without an edge are not listed.
 """
 
 from __future__ import annotations
@@ -11,23 +16,37 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Rows of one key that one task takes in a join, at least; and how many keys can have more.
+HUB = 100_000
+HUBS = 10_000
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str, total: int, hub: int = HUB) -> DataFrame:
+    """``rows`` and, as ``name``, the least ``value`` of all rows with the same ``key``; the rows of a hot key stay where they are."""
+    hot = max(hub, total // HUBS)
+    if total <= hot:
+        return rows.join(rows.groupBy(key).agg(F.min(value).alias(name)), key)
+    rows = checkpoint(rows)
+    least = rows.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("_n"))
+    hubs = F.broadcast(least.where(F.col("_n") > hot).drop("_n"))  # total / hot at most, so 10,000 at most
+    usual = rows.join(hubs, key, "left_anti").join(least.where(F.col("_n") <= hot).drop("_n"), key)
+    return usual.unionByName(rows.join(hubs, key))
+
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int, hub: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    rows = with_least(both, "u", "v", "m", 2 * total, hub)
+    return rows.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, total: int, hub: int) -> DataFrame:
+    rows = with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "u", "v", "m", total, hub)
+    moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return rows.select(moved.alias("u"), F.col("m").alias("v")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): label is the smallest node of the component.  ``edges`` has u and v, longs; nodes without an edge are
-    not listed.  An empty list gives an empty table; loops and repeated edges are ignored."""
+def components(edges: DataFrame, rounds: int = 60, hub: int = HUB) -> DataFrame:
+    """(node, label): label is the smallest node of the component.  ``edges`` has u and v, longs."""
     edges = checkpoint(edges.where("u <> v").select("u", "v").distinct())
     before = None
     for _ in range(rounds):
@@ -35,7 +54,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not sign[0] or sign == before:
             break
         before = sign
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = checkpoint(_small_star(_large_star(edges, sign[0], hub), sign[0], hub))
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

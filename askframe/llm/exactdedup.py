@@ -8,7 +8,8 @@ burdens no task.
 
 Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``.  Of equal texts the row with the
 most code points stays, then the one with the smallest doc_id.  Defined results: a null text counts as empty, and all
-empty texts form one group; repeated rows count each (``keep_one`` keeps one of them); a row with a null doc_id is a group of its own with a null keep_id;
+empty texts form one group; repeated rows count each (``keep_one`` keeps one of them); rows of one
+doc_id with different texts belong each to the group of its text; a row with a null doc_id is a group of its own with a null keep_id;
 an empty table gives an empty table; of extra columns none matters.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_and_text, partitions
+from .common import checkpoint, id_and_text, one_of_each, partitions
 
 #: The white space that equality ignores.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -123,20 +124,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns as they are.  Of rows that repeat a doc_id with an equal text one stays, the
+    """The rows that stay, with their columns as they are.  Rows are told apart by doc_id and normalised text: a text stays
+    though its doc_id also names a copy of another text, and of rows that repeat a doc_id with an equal text one stays, the
     longest; rows without a doc_id all stay."""
-    out = checkpoint(exact_groups(docs))
-    gone = out.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    stay = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    twice = out.where("doc_id is not null").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("_twice")).distinct()
-    twice = checkpoint(twice)
-    if twice.isEmpty():
-        return stay
-    once = stay.join(twice, stay["doc_id"] == twice["_twice"], "left_anti")
-    text = F.coalesce(stay["text"].cast("string"), F.lit(""))
-    row = F.max_by(F.struct(*[stay[c] for c in docs.columns]), F.char_length(text)).alias("_row")
-    again = stay.join(twice, stay["doc_id"] == twice["_twice"], "left_semi").groupBy(stay["doc_id"], F.translate(text, BLANKS, "")).agg(row)
-    return once.unionByName(again.select("_row.*"))
+    out = checkpoint(exact_groups(docs).where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"), "kept"))
+    gone = out.where(~F.col("kept")).select("id", "key").distinct()
+    twice = out.where("kept").groupBy("id", "key").count().where("count > 1").select("id", "key")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return one_of_each(docs, checkpoint(gone), checkpoint(twice), F.sha2(F.translate(text, BLANKS, ""), 256), F.char_length(text))
 
 
 ORACLE = """

@@ -19,7 +19,7 @@ place: each window of its segments is sent by a 128-bit fingerprint of its whole
 
 Defined results: a null or empty text, or one shorter than the window, loses nothing; a row with a null doc_id has no
 place in the order, neither loses bytes nor takes any; rows repeated whole are one document and do not count as each
-other's copies; an empty table gives an empty table; of extra columns none matters.
+other's copies; different texts of one doc_id are documents of their own, in the order of a hash; an empty table gives an empty table; of extra columns none matters.
 """
 
 from __future__ import annotations
@@ -495,12 +495,32 @@ def _removed(size: int, lists, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _places(known: DataFrame) -> DataFrame | None:
+    """Where one doc_id names different texts: (doc_id, key, place), by which each text has a place of its own in the order of
+    doc_id, then of a hash of the text; else nothing."""
+    names = known.select("doc_id", F.xxhash64("text").alias("key")).distinct()
+    if names.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return None
+    return checkpoint(checkpoint(names.orderBy("doc_id", "key")).withColumn("place", F.monotonically_increasing_id()))
+
+
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, texts: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` kept_text too, in which a
     character that lost some of its bytes is left out, and ``row``, a struct of all columns of ``docs`` but the text."""
     ship(docs.sparkSession)
     others = [docs[c] for c in docs.columns if c != "text"] if texts else []
-    docs = id_and_text(docs) if not texts else docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.struct(*others).alias("row"))
+    docs = id_and_text(docs) if not texts else docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), F.struct(*others).alias("row"))
+    places = _places(docs.where("doc_id is not null"))
+    if places is None:
+        return _removals(docs, window, gram, most, texts)
+    named = docs.withColumn("key", F.xxhash64("text")).join(places, ["doc_id", "key"], "left")  # null ids stay null
+    out = _removals(named.select(F.col("place").alias("doc_id"), *docs.columns[1:]), window, gram, most, texts)
+    back = out.withColumnRenamed("doc_id", "place").join(places.select("place", "doc_id"), "place", "left")
+    return back.select(*out.columns)
+
+
+def _removals(docs: DataFrame, window: int, gram: int, most: int, texts: bool) -> DataFrame:
+    """``removals`` of prepared documents whose doc_id names one text each."""
     # Texts are dealt out by doc_id twice, here and where segments are fetched; both exchanges together are about twice the input.
     joined = docs.where("doc_id is not null").join(repeats(docs, window, gram, most), "doc_id", "left").select("doc_id", "text", "lists", *docs.columns[2:])
     joined = joined.unionByName(docs.where("doc_id is null").withColumn("lists", F.lit(None).cast("array<binary>")))
