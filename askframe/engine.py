@@ -7,17 +7,20 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.sqltext import post_process
-from .operators.graph import edges, enhance, graph_links, shortest_paths
-from .operators.linking import link
+from .functions.sqltext import executable
+from .functions.text import Segmenter
+from .operators.graph import enhance, graph_links
+from .operators.linking import cell_links, exact_values, link, name_links
 from .operators.masking import mask_questions
 from .operators.pruning import prune
 from .operators.retrieval import embed_query, few_shot_block, retrieve
+from .operators.vectors import Embedder, hashed_embedding
 from .plans import prompt as prompts
 from .plans.config import Config
 from .plans.execute import Executor, Result
-from .plans.generate import SqlGenerator, TemplateGenerator
+from .plans.generate import SqlGenerator
 from .plans.repair import Outcome, Repairer
+from .plans.template import Schema, statement
 from .session import settle
 from .sources.catalog import Catalog, render_ddl
 from .sources.values import cell_values, column_values, dump
@@ -39,12 +42,14 @@ class Answer:
 class Engine:
     """Answers questions over the databases of a catalog, whose tables lie in ``folders``."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, folders: dict[str, str], generator: SqlGenerator | None = None, examples: DataFrame | None = None, config: Config | None = None) -> None:
+    def __init__(self, spark: SparkSession, catalog: Catalog, folders: dict[str, str], generator: SqlGenerator | None = None, examples: DataFrame | None = None, config: Config | None = None, embed: Embedder = hashed_embedding, segment: Segmenter | None = None) -> None:
         self.spark, self.catalog, self.folders = spark, catalog, folders
         self.config = config or Config()
         self.generator, self.examples = generator, examples
+        self.embed, self.segment = embed, segment
         self.executor = Executor(spark, folders=folders, timeout=self.config.sql_timeout_seconds, most_rows=self.config.sql_max_rows)
         self._values: dict[str, DataFrame] = {}
+        self._schemas: dict[str, Schema] = {}
 
     def values(self, db_id: str) -> DataFrame:
         """Stored values of a database, read once."""
@@ -53,29 +58,27 @@ class Engine:
         return self._values[db_id]
 
     def link(self, questions: DataFrame, db_id: str, values: bool = True) -> DataFrame:
-        return link(questions, self.catalog.of(db_id), self.values(db_id) if values else None, threshold=self.config.cell_value_fuzzy_threshold)
-
-    def _template(self, question: str, db_id: str, links: DataFrame) -> str:
-        """A statement from links alone: linked tables along shortest paths, exact columns, matched values."""
+        return link(questions, self.catalog.of(db_id), self.values(db_id) if values else None, threshold=self.config.cell_value_fuzzy_threshold, embed=self.embed, segment=self.segment)
+
+    def schema(self, db_id: str) -> Schema:
+        """A database's catalog on the driver, collected once."""
+        if db_id not in self._schemas:
+            self._schemas[db_id] = Schema.of(self.catalog.of(db_id))
+        return self._schemas[db_id]
+
+    def _template(self, question: str, db_id: str, links: list[Row]) -> str:
+        """A statement from a question's links alone: exact names, and stored values of more than two letters in full."""
+        exact = [(r["kind"], r["table_idx"], r["col_idx"], r["span"]) for r in links if r["kind"] in ("table", "column") and r["match_type"] == "exact"]
+        cells = [(r["col_idx"], r["span"]) for r in links if r["kind"] == "cell" and r["score"] >= 1.0 and r["span"] and len(r["span"]) > 2]
+        return statement(question, self.schema(db_id), exact, cells)
+
+    def statements(self, questions: DataFrame, db_id: str) -> dict[int, str]:
+        """The template's statement for each of some questions (question_id, db_id, question): all are linked by one plan."""
         catalog = self.catalog.of(db_id)
-        named = catalog.named()
-        cols = {r["col_idx"]: r for r in named.collect()}
-        fks = [(cols[r["src_col_idx"]], cols[r["dst_col_idx"]]) for r in catalog.fks.collect()]
-        joins = {(a["table_name"], b["table_name"]): (a["col_name"], b["col_name"]) for a, b in fks}
-        rows = links.orderBy("kind", "table_idx", "col_idx").collect()
-        names = {r["table_idx"]: r["table_name"] for r in catalog.tables.collect()}
-        found = [r for r in rows if r["kind"] == "column" and r["match_type"] == "exact"]
-        cells = [r for r in rows if r["kind"] == "cell" and r["score"] >= 1.0 and r["span"] and len(r["span"]) > 2]
-        wanted = list(dict.fromkeys([r["table_idx"] for r in rows if r["kind"] == "table" and r["match_type"] == "exact"] + [r["table_idx"] for r in found + cells]))
-        path = wanted[:1]
-        if len(wanted) > 1:
-            pairs = self.spark.createDataFrame([(db_id, wanted[0], t) for t in wanted[1:]], "db_id string, src int, dst int")
-            for r in shortest_paths(edges(catalog), pairs).orderBy("hops", "path").collect():
-                if path[-1] == r["path"][0] or len(path) == 1:
-                    path += [t for t in r["path"] if t not in path]
-        shown = [f"{cols[r['col_idx']]['table_name']}.{cols[r['col_idx']]['col_name']}" for r in found if r["table_idx"] in path]
-        values = {f"{cols[r['col_idx']]['table_name']}.{cols[r['col_idx']]['col_name']}": r["span"] for r in cells if r["table_idx"] in path}
-        return TemplateGenerator(joins).statement(question, [names[t] for t in path], shown, values)
+        hits = exact_values(questions, self.values(db_id)).withColumn("rank", F.lit(1))
+        rows = name_links(questions, catalog, segment=self.segment).unionByName(cell_links(hits, catalog)).collect()
+        asked = questions.select("question_id", "question").collect()
+        return {q["question_id"]: self._template(q["question"], db_id, [r for r in rows if r["question_id"] == q["question_id"]]) for q in asked}
 
     def prepare(self, question: str, db_id: str) -> tuple[str, str, DataFrame]:
         """Prompt, masked question and links of a question."""
@@ -89,20 +92,20 @@ class Engine:
         lines = prompts.hints(links, catalog, self.values(db_id)).first() if linked else None
         shots = ""
         if self.examples is not None:
-            shots = few_shot_block(retrieve(self.examples, embed_query(self.spark, masked), self.config.retrieval_top_k, self.config.retrieval_alpha, self.config.retrieval_beta, self.config.use_mmr))
+            shots = few_shot_block(retrieve(self.examples, embed_query(self.spark, masked, self.embed), self.config.retrieval_top_k, self.config.retrieval_alpha, self.config.retrieval_beta, self.config.use_mmr))
         text = prompts.build(question, ddl, *((lines["structure"], lines["cells"], lines["examples"]) if lines else ("", "", "")), shots, self.config.token_budget)
         return text, masked, links
 
     def clean(self, sql: str, db_id: str) -> str:
-        """Generated text as a statement: the clean-up chain with the database's column names known."""
-        names = tuple(r["col_name"] for r in self.catalog.of(db_id).columns.select("col_name").distinct().collect())
-        return self.spark.createDataFrame([(sql,)], "sql string").select(post_process("sql", names).alias("s")).first()["s"]
+        """Generated text as a statement: the clean-up chain with the database's column names known, string quotes as they are."""
+        names = tuple(sorted({c[1] for c in self.schema(db_id).columns.values()}))
+        return self.spark.createDataFrame([(sql,)], "sql string").select(executable("sql", names).alias("s")).first()["s"]
 
     def ask(self, question: str, db_id: str) -> Answer:
         """Link, prune, prompt, generate, clean, run, and repair what fails."""
         text, masked, links = self.prepare(question, db_id)
         generator = self.generator
-        sql = self.clean(generator.generate(text), db_id) if generator else self._template(question, db_id, links)
+        sql = self.clean(generator.generate(text), db_id) if generator else self._template(question, db_id, links.collect())
         if generator is None:
             return Answer(question, sql, self.executor.execute(sql, db_id), masked, text, links.collect())
         catalog = self.catalog.of(db_id)
@@ -113,7 +116,7 @@ class Engine:
     def ask_frame(self, question: str, db_id: str) -> DataFrame:
         """The rows of the template's answer as a DataFrame that has not run yet."""
         asked = self.spark.createDataFrame([(1, db_id, question)], ASKED)
-        return self.executor.frame(self._template(question, db_id, self.link(asked, db_id)), db_id)
+        return self.executor.frame(self.statements(asked, db_id)[1], db_id)
 
     def tables_needed(self, questions: DataFrame, db_id: str) -> DataFrame:
         """Tables with those that the foreign-key graph adds, for any number of questions."""

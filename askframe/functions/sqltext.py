@@ -167,6 +167,11 @@ def post_process(sql: Column | str, columns: tuple[str, ...] = ()) -> Column:
     return collapse_blanks(space_commas(quote_bare_values(double_quotes(out), columns)))
 
 
+def executable(sql: Column | str, columns: tuple[str, ...] = ()) -> Column:
+    """The chain for a statement that is to run: as ``post_process``, but string literals keep their quotes and all they hold."""
+    return collapse_blanks(space_commas(quote_bare_values(cut_repetition(strip_fence(F.trim(_c(sql)))), columns)))
+
+
 def clean_generated(raw: str) -> str:
     """A generator's answer as one statement: fence and all after the first semicolon go, ``select select`` is one, and
     what starts with neither SELECT nor WITH gets a SELECT.  String quotes stay."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import string
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ STOP_WORDS = (
 )
 PUNCTUATION = string.punctuation
 PUNCTUATION_BUT_JOINER = PUNCTUATION.replace("_", "")
+#: What counts as a number and as a date in a question.
 NUMBER = r"\b\d+(?:[.,]\d+)?\b"
 DATE = r"\b\d{4}[-/]\d{2}[-/]\d{2}\b|\b\d{2}/\d{2}/\d{4}\b|(?i:\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}\b)"
 
@@ -33,12 +37,29 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(normalise(text), r"\s+"), lambda t: F.length(t) > 1)
 
 
-def question_tokens(text: Column | str, drop_stop_words: bool = True) -> Column:
+#: From a text column to one in which the words of a compound are joined by ``_``.
+Segmenter = Callable[[Column], Column]
+
+
+def compound_segmenter(compounds: Iterable[str]) -> Segmenter:
+    """A segmenter that joins the words of known compounds, the longest first, whatever their case."""
+    known = sorted({" ".join(c.lower().replace("_", " ").split()) for c in compounds if " " in c.strip() or "_" in c.strip("_")}, key=lambda c: (-len(c), c))
+    pattern = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(c).replace(r"\ ", r"\s+") for c in known) + r")(?!\w)", re.IGNORECASE) if known else None
+
+    def join(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else pattern.sub(lambda m: "_".join(m.group().split()), t))
+
+    udf = F.pandas_udf(join, "string", F.PandasUDFType.SCALAR)
+    return (lambda text: udf(text)) if pattern else (lambda text: text)
+
+
+def question_tokens(text: Column | str, drop_stop_words: bool = True, segment: Segmenter | None = None) -> Column:
     """Tokens of a question or of a schema name: punctuation goes but the word joiner ``_``, stop-words and single letters go.
 
-    Word segmentation is the text's own (words of a compound are joined by ``_`` in word-level data).
+    ``segment`` joins the words of compounds by ``_``; without it the text's own joiners count.
     """
-    words = F.split(F.trim(F.translate(F.lower(_c(text)), PUNCTUATION_BUT_JOINER, "")), r"\s+")
+    text = segment(_c(text)) if segment else _c(text)
+    words = F.split(F.trim(F.translate(F.lower(text), PUNCTUATION_BUT_JOINER, "")), r"\s+")
     return F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS) if drop_stop_words else F.length(t) > 1)
 
 

@@ -9,25 +9,26 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_date, has_number, ngrams, normalise, question_tokens, tokens
+from ..functions.text import Segmenter, has_date, has_number, ngrams, normalise, question_tokens, tokens
 from ..session import settle, ship
 from ..sources.catalog import Catalog
 from .topk import top_k_per_group
-from .vectors import cosine, hashed_embedding
+from .vectors import Embedder, cosine, hashed_embedding
 
 MOST_WORDS = 5
+FEW_NAMES = 20_000
 EXACT, PARTIAL, CELL, NUM_DATE = 1.0, 0.8, 1.0, 0.8
 SEMANTIC = 0.55
 NUMERIC = ("NUMBER", "INT", "INTEGER", "FLOAT", "REAL", "DOUBLE", "DECIMAL")
 DATES = ("DATE", "DATETIME", "TIME", "TIMESTAMP", "YEAR")
 
 
-def question_grams(questions: DataFrame, most: int = MOST_WORDS) -> DataFrame:
+def question_grams(questions: DataFrame, most: int = MOST_WORDS, segment: Segmenter | None = None) -> DataFrame:
     """(question_id, db_id, n, pos, gram)."""
-    return questions.select("question_id", "db_id", F.inline(ngrams(question_tokens("question"), most)))
+    return questions.select("question_id", "db_id", F.inline(ngrams(question_tokens("question", segment=segment), most)))
 
 
 def _names(catalog: Catalog) -> DataFrame:
@@ -37,28 +38,30 @@ def _names(catalog: Catalog) -> DataFrame:
     return t.unionByName(c)
 
 
-def name_links(questions: DataFrame, catalog: Catalog, most: int = MOST_WORDS) -> DataFrame:
+def name_links(questions: DataFrame, catalog: Catalog, most: int = MOST_WORDS, segment: Segmenter | None = None) -> DataFrame:
     """Links by name: an n-gram of the question equals a name's words (exact) or some run of them (partial).
 
     Names are exploded into their own n-grams, so that containment at word boundaries is an equi-join too.  The best link
     of each name stays: exact before partial, then the longest and first span.
     """
-    names = _names(catalog).withColumn("words", question_tokens("name"))
+    names = _names(catalog).withColumn("words", question_tokens("name", segment=segment))
     whole = F.array_join("words", " ")
     parts = names.select("db_id", "kind", "table_idx", "col_idx", whole.alias("whole"), F.explode(F.array_distinct(F.transform(ngrams("words", most), lambda g: g["gram"]))).alias("gram"))
-    hits = question_grams(questions, most).join(parts, ["db_id", "gram"])
+    hits = question_grams(questions, most, segment).join(parts, ["db_id", "gram"])
     hits = hits.select("question_id", "db_id", "kind", "table_idx", "col_idx", F.when(F.col("gram") == F.col("whole"), "exact").otherwise("partial").alias("match_type"), F.when(F.col("gram") == F.col("whole"), EXACT).otherwise(PARTIAL).alias("score"), F.col("gram").alias("span"), "n", "pos")
     best = top_k_per_group(hits, ["question_id", "db_id", "kind", "table_idx", "col_idx"], [F.col("score").desc(), F.col("n").desc(), F.col("pos"), F.col("span")], 1, "_rank")
     return best.drop("_rank", "n", "pos")
 
 
-def semantic_links(questions: DataFrame, catalog: Catalog, threshold: float = SEMANTIC, dim: int = 256) -> DataFrame:
+def semantic_links(questions: DataFrame, catalog: Catalog, threshold: float = SEMANTIC, embed: Embedder = hashed_embedding) -> DataFrame:
     """Links by meaning: cosine of embeddings of question and name of at least ``threshold``.
 
-    The embedder hashes character n-grams; it stands in for a language model and is not one.
+    ``embed`` makes a vector column of a text column: a model over Arrow batches (``vectors.model_embedder``), a look-up, or the
+    default, which hashes character n-grams and stands in for a model.  Names are broadcast where a count shows them to be few.
     """
-    q = questions.select("question_id", "db_id", hashed_embedding(F.col("question"), dim).alias("q"))
-    n = _names(catalog).withColumn("v", hashed_embedding(F.translate("name", "_", " "), dim))
+    q = questions.select("question_id", "db_id", embed(F.col("question")).alias("q"))
+    n = settle(_names(catalog).withColumn("v", embed(F.translate("name", "_", " "))))
+    n = F.broadcast(n) if n.count() <= FEW_NAMES else n
     scored = q.join(n, "db_id").withColumn("score", cosine("q", "v")).where(F.col("score") >= threshold)
     return scored.select("question_id", "db_id", "kind", "table_idx", "col_idx", F.lit("semantic").alias("match_type"), "score", F.lit(None).cast("string").alias("span"))
 
@@ -116,19 +119,45 @@ def legacy_values(questions: DataFrame, values: DataFrame) -> DataFrame:
     return scored.where("score is not null").select("question_id", "db_id", "table_name", "col_name", "value", "score")
 
 
+#: Letters of English and Vietnamese text from rare to common, roughly; others count as rarer still.  The order decides how
+#: many candidates there are, not which are found.
+_COMMON = "zwqjxfvkpybgmdclusrhntoiae "
+
+
+def _letters(c: Column) -> Column:
+    """A text's letters, each with the number of its occurrence, the rare ones first: equal multisets give equal arrays."""
+    chars = F.array_sort(F.split(c, ""))
+    runs = F.transform(chars, lambda x, i: F.struct((F.instr(F.lit(_COMMON), x)).alias("common"), x.alias("x"), (i - F.array_position(chars, x) + 1).alias("k")))
+    return F.transform(F.array_sort(runs), lambda r: F.concat(r["x"], r["k"].cast("string")))
+
+
+def _shortest(n: Column, threshold: float) -> Column:
+    """The least length of a text that can resemble one of length n."""
+    return F.ceil(n * threshold / (2 - threshold) - 1e-9).cast("int")
+
+
+def _prefix(n: Column, threshold: float) -> Column:
+    """How many of n rare-first letters must hold one that any resembling text shares among its own first ones."""
+    return (n - F.ceil(threshold * (n + _shortest(n, threshold)) / 2 - 1e-9) + 1).cast("int")
+
+
 def fuzzy_values(questions: DataFrame, values: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Values that resemble a token.  Candidates share a letter pair and have lengths between which the threshold can hold at
-    all (ratio <= 2 min / (min + max)); only they are compared in full."""
+    """Values that resemble a token, by the ratio of matching letters.
+
+    A ratio of at least ``threshold`` needs that many letters in common, so two such texts share one of the first, rarest
+    letters of each, and their lengths are close: candidates meet on both by an equi-join that loses none.  Letters are then
+    counted in full, and only what can still reach the threshold is compared."""
     ship(questions.sparkSession)
     q = questions.select("question_id", "db_id", F.explode(F.array_distinct(tokens("question"))).alias("token"))
     v = values.withColumn("key", normalise("value")).where("length(key) > 1")
-
-    def pairs(c):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
-
-    left, right = q.withColumn("pair", F.explode(pairs(F.col("token")))), v.withColumn("pair", F.explode(pairs(F.col("key"))))
-    few, many = F.least(F.length("token"), F.length("key")), F.greatest(F.length("token"), F.length("key"))
-    near = left.join(right, ["db_id", "pair"]).where(2.0 * few / (few + many) >= threshold).drop("pair").distinct()
+    q, v = q.withColumn("token_letters", _letters(F.col("token"))), v.withColumn("key_letters", _letters(F.col("key")))
+    few, many = F.length("token"), F.length("key")
+    longest = F.floor(few * (2 - threshold) / threshold + 1e-9).cast("int")
+    left = q.withColumn("size", F.explode(F.sequence(_shortest(few, threshold), longest))).withColumn("letter", F.explode(F.slice("token_letters", 1, _prefix(few, threshold))))
+    right = v.withColumn("size", many).withColumn("letter", F.explode(F.slice("key_letters", 1, _prefix(many, threshold))))
+    shared = F.size(F.array_intersect("token_letters", "key_letters"))
+    near = left.join(right, ["db_id", "size", "letter"]).where(2.0 * shared >= threshold * (few + many) - 1e-9)
+    near = near.select("question_id", "db_id", "table_name", "col_name", "value", "token", "key").distinct()
     scored = near.withColumn("score", F.round(fuzzy_ratio(F.col("token"), F.col("key")), 3)).where(F.col("score") >= threshold)
     return scored.groupBy("question_id", "db_id", "table_name", "col_name", "value").agg(F.max("score").alias("score"))
 
@@ -162,11 +191,11 @@ def value_hints(hits: DataFrame, links: DataFrame, catalog: Catalog) -> DataFram
     return best.groupBy("question_id", "db_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(".", "table_name", "col_name").alias("k"), F.col("value").alias("v"))))).alias("hints"))
 
 
-def link(questions: DataFrame, catalog: Catalog, values: DataFrame | None = None, semantic: bool = True, threshold: float = 0.8) -> DataFrame:
+def link(questions: DataFrame, catalog: Catalog, values: DataFrame | None = None, semantic: bool = True, threshold: float = 0.8, embed: Embedder = hashed_embedding, segment: Segmenter | None = None) -> DataFrame:
     """All links of all questions."""
-    out = name_links(questions, catalog)
+    out = name_links(questions, catalog, segment=segment)
     if semantic:
-        out = merge_links(out, semantic_links(questions, catalog))
+        out = merge_links(out, semantic_links(questions, catalog, embed=embed))
     out = out.unionByName(num_date_links(questions, catalog))
     return settle(out if values is None else out.unionByName(cell_links(match_values(questions, values, threshold), catalog)))
 

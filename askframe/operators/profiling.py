@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .topk import positions
+
 
 def counts_top(rows: DataFrame, by: str, k: int = 10) -> DataFrame:
     """The k commonest values and their counts; ties by value."""
@@ -27,17 +29,14 @@ def compare_splits(left: DataFrame, right: DataFrame, by: str = "db_id") -> Data
 
 def align(left: DataFrame, right: DataFrame, order: str, check: str) -> DataFrame:
     """Rows of two sets of the same length by place: (pos, left_<order>, right_<order>, same), same telling whether ``check``
-    agrees.  ValueError if the lengths differ.  Places come from ranks within hashed buckets' ranges of the order."""
+    agrees; ties in the order go by ``check``.  ValueError if the lengths differ."""
     n, m = left.count(), right.count()
     if n != m:
         raise ValueError(f"{n} and {m} rows cannot be aligned")
 
     def placed(df: DataFrame, side: str) -> DataFrame:
-        parts = df.select(order, check).repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-        sizes = parts.groupBy("_part").count()
-        before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-        rank = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-        return parts.withColumn("_r", rank).join(before, "_part").select((F.col("_before") + F.col("_r") - 1).alias("pos"), F.col(order).alias(f"{side}_{order}"), F.col(check).alias(f"{side}_{check}"))
+        rows = df.select(F.col(order).alias(f"{side}_{order}"), F.col(check).alias(f"{side}_{check}"))
+        return positions(rows.orderBy(*rows.columns))
 
     both = placed(left, "left").join(placed(right, "right"), "pos")
     return both.withColumn("same", F.col(f"left_{check}").eqNullSafe(F.col(f"right_{check}"))).drop(f"left_{check}", f"right_{check}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.sqltext import skeleton
 from ..functions.text import mask_literals
 from .topk import top_k_per_group
-from .vectors import hashed_embedding
+from .vectors import Embedder, hashed_embedding
 
 
 def _similar(vector: str, query: list[float]) -> Column:
@@ -54,15 +54,15 @@ def mmr(pool: DataFrame, query: list[float], k: int, weight: float = 0.7, vector
     return [rows[i][key] for i in chosen]
 
 
-def build_examples(questions: DataFrame, dim: int = 256) -> DataFrame:
+def build_examples(questions: DataFrame, embed: Embedder = hashed_embedding) -> DataFrame:
     """Solved questions (db_id, question, query) with literals masked, skeleton and embeddings, ready for a cache."""
     rows = questions.withColumn("question_masked", mask_literals("question")).withColumn("skeleton", skeleton("query"))
-    return rows.withColumn("embedding", hashed_embedding(F.col("question_masked"), dim)).withColumn("skeleton_embedding", hashed_embedding(F.col("skeleton"), dim))
+    return rows.withColumn("embedding", embed(F.col("question_masked"))).withColumn("skeleton_embedding", embed(F.col("skeleton")))
 
 
-def embed_query(spark: SparkSession, question: str, dim: int = 256) -> list[float]:
+def embed_query(spark: SparkSession, question: str, embed: Embedder = hashed_embedding) -> list[float]:
     """A question masked and embedded as the examples are."""
-    return list(spark.createDataFrame([(question,)], "q string").select(hashed_embedding(mask_literals("q"), dim).alias("e")).first()["e"])
+    return list(spark.createDataFrame([(question,)], "q string").select(embed(mask_literals("q")).alias("e")).first()["e"])
 
 
 def retrieve(examples: DataFrame, query: list[float], k: int = 10, alpha: float = 1.0, beta: float = 0.0, diverse: bool = False, key: str = "id") -> DataFrame:

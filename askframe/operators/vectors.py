@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: From a text column to a column of vectors (arrays of floats).
+Embedder = Callable[[Column], Column]
+
+
+def model_embedder(encode: Callable[[list[str]], np.ndarray]) -> Embedder:
+    """An embedder by a model: ``encode`` makes an array of one row for each text, and is called once for each Arrow batch."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(encode([t or "" for t in texts]), np.float32))) if len(texts) else pd.Series([], dtype=object)
+
+    udf = F.pandas_udf(run, "array<float>", F.PandasUDFType.SCALAR)
+    return lambda text: udf(text)
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x

@@ -1,4 +1,4 @@
-"""Configuration: defaults, a YAML file, T2SQL_* environment variables and overrides, each stronger than the one before."""
+"""Configuration: defaults, a YAML file, ASKFRAME_* environment variables and overrides, each stronger than the one before."""
 
 from __future__ import annotations
 
@@ -57,7 +57,7 @@ def load(path: str | None = None, **overrides: Any) -> Config:
 
         given |= yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
     names = {f.name for f in fields(Config)}
-    given |= {k[6:].lower(): v for k, v in os.environ.items() if k.startswith("T2SQL_")}
+    given |= {k.removeprefix("ASKFRAME_").lower(): v for k, v in os.environ.items() if k.startswith("ASKFRAME_")}
     given |= {k: v for k, v in overrides.items() if v is not None}
     if unknown := sorted(set(given) - names):
         raise KeyError(f"unknown settings: {', '.join(unknown)}")

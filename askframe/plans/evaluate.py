@@ -6,11 +6,13 @@ samples: (index, db_id, question, predicted, gold).  Text metrics are columns; r
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import CLAUSES, LEVELS, cell_text, clauses, complexity, normalize, skeleton
+from ..operators.topk import positions
 from .execute import Executor
 
 
@@ -34,14 +36,15 @@ def same_rows(left: DataFrame, right: DataFrame, ordered: bool = False) -> bool:
     """Whether two results hold the same rows as often, cells compared as trimmed lower-case text.
 
     Bags are compared by counting: a row counts up on the left and down on the right, and nothing may be left over.  In
-    order, results of an ORDER BY are compared row by row on the driver.  Without columns in common they are equal only
-    if both are empty.
+    order, the rows of both are numbered and joined by place.  Without columns in common they are equal only if both are
+    empty.
     """
     if len(left.columns) != len(right.columns):
         return left.isEmpty() and right.isEmpty()
     a, b = _cells(left), _cells(right)
     if ordered:
-        return [r["row"] for r in a.toLocalIterator()] == [r["row"] for r in b.toLocalIterator()]
+        both = positions(a).join(positions(b).withColumnRenamed("row", "other"), "pos", "full")
+        return both.where(~F.col("row").eqNullSafe(F.col("other"))).isEmpty()
     both = a.withColumn("n", F.lit(1)).unionByName(b.withColumn("n", F.lit(-1)))
     return both.groupBy("row").agg(F.sum("n").alias("n")).where("n <> 0").isEmpty()
 
@@ -61,25 +64,31 @@ def execution_match(executor: Executor, predicted: str, gold: str, db_id: str, o
 
     ``ordered`` None takes the order to count where the gold statement orders; ``legacy`` compares unordered and capped rows.
     """
-    p = executor.execute(predicted, db_id)
-    if not p.success:
-        return False, p.short_error()
-    g = executor.execute(gold, db_id)
-    if not g.success:
-        return False, ""
     order = False if legacy else is_ordered(gold) if ordered is None else ordered
-    left, right = executor.frame(predicted, db_id), executor.frame(gold, db_id)
-    if legacy:
-        left, right = left.limit(executor.most_rows), right.limit(executor.most_rows)
-    return same_rows(left, right, order), ""
 
+    def compare() -> bool:
+        left, right = executor.frame(predicted, db_id), executor.frame(gold, db_id)
+        if legacy:
+            left, right = left.limit(executor.most_rows), right.limit(executor.most_rows)
+        return same_rows(left, right, order)
 
-def score(spark: SparkSession, samples: DataFrame, executor: Executor | None = None, legacy: bool = False) -> DataFrame:
-    """All scores.  Statements are run one after the other, each as a distributed query; their number is the samples'."""
+    same, error = executor.timed(compare, predicted)
+    if error is None:
+        return bool(same), ""
+    p = executor.execute(predicted, db_id)  # one of the two failed: which?
+    return False, "" if p.success else p.short_error()
+
+
+def score(spark: SparkSession, samples: DataFrame, executor: Executor | None = None, legacy: bool = False, at_once: int = 4) -> DataFrame:
+    """All scores.  Each pair of statements is one distributed comparison; ``at_once`` of them run at a time."""
     rows = text_scores(samples)
     if executor is None:
         return rows.withColumns({"exec_match": F.lit(False), "error_msg": F.lit("")})
-    ran = [(r["index"], *execution_match(executor, r["predicted"], r["gold"], r["db_id"], legacy=legacy)) for r in samples.select("index", "db_id", "predicted", "gold").toLocalIterator()]
+    pairs = samples.select("index", "db_id", "predicted", "gold").collect()
+    for db_id in dict.fromkeys(r["db_id"] for r in pairs):
+        executor.session(db_id)  # before threads ask for it
+    with ThreadPoolExecutor(at_once) as pool:
+        ran = list(pool.map(lambda r: (r["index"], *execution_match(executor, r["predicted"], r["gold"], r["db_id"], legacy=legacy)), pairs))
     return rows.join(spark.createDataFrame(ran, "index int, exec_match boolean, error_msg string"), "index")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
+from typing import Any
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -92,31 +94,42 @@ class Executor:
             return False, _describe(e)
         return True, ""
 
-    def execute(self, sql: str, db_id: str) -> Result:
-        """Run a statement.  One row more than the cap is fetched, to tell whether there were more."""
-        if self.session(db_id) is None:
-            return Result(Status.DB_NOT_FOUND, sql)
+    def timed(self, run: Callable[[], Any], label: str = "") -> tuple[Any, BaseException | None]:
+        """What ``run`` gives, or the error that ended it.  After the timeout its Spark jobs are cancelled: a TimeoutError."""
         box: dict = {}
         sc, group = self.spark.sparkContext, f"ask-{uuid.uuid4().hex}"
 
-        def run() -> None:
+        def inside() -> None:
             try:
-                sc.setJobGroup(group, sql[:60], interruptOnCancel=True)
-                df = self.frame(sql, db_id)
-                df = df.toDF(*[f"c{i}" for i in range(len(df.columns))]) if len(set(df.columns)) < len(df.columns) else df
-                box["columns"], box["rows"] = df.columns, df.limit(self.most_rows + 1).collect()
+                sc.setJobGroup(group, label[:60], interruptOnCancel=True)
+                box["value"] = run()
             except BaseException as e:  # noqa: BLE001
                 box["error"] = e
 
-        worker = threading.Thread(target=run, daemon=True)
+        worker = threading.Thread(target=inside, daemon=True)
         worker.start()
         worker.join(self.timeout)
         if worker.is_alive():
             sc.cancelJobGroup(group)
             worker.join(1.0)
+            return None, TimeoutError(label[:60])
+        return box.get("value"), box.get("error")
+
+    def execute(self, sql: str, db_id: str) -> Result:
+        """Run a statement.  One row more than the cap is fetched, to tell whether there were more."""
+        if self.session(db_id) is None:
+            return Result(Status.DB_NOT_FOUND, sql)
+
+        def run() -> tuple[list[str], list[Row]]:
+            df = self.frame(sql, db_id)
+            df = df.toDF(*[f"c{i}" for i in range(len(df.columns))]) if len(set(df.columns)) < len(df.columns) else df
+            return df.columns, df.limit(self.most_rows + 1).collect()
+
+        got, e = self.timed(run, sql)
+        if isinstance(e, TimeoutError):
             return Result(Status.TIMEOUT, sql)
-        if e := box.get("error"):
+        if e is not None:
             status = Status.SYNTAX_ERROR if isinstance(e, ParseException | NotAQuery) else Status.RUNTIME_ERROR
             return Result(status, sql, error=_describe(e))
-        rows = box["rows"]
-        return Result(Status.SUCCESS if rows else Status.EMPTY, sql, rows[: self.most_rows], box["columns"], len(rows) > self.most_rows)
+        columns, rows = got
+        return Result(Status.SUCCESS if rows else Status.EMPTY, sql, rows[: self.most_rows], columns, len(rows) > self.most_rows)

@@ -50,6 +50,15 @@ def replace_literal(sql: str, old: str, new: str) -> str:
     return "".join(("'" + new.replace("'", "''") + "'") if t[0] in "'\"" and len(t) > 1 and t[1:-1].replace("''", "'") == old else t for t in tokens(sql))
 
 
+def choose_value(generator: SqlGenerator, question: str, column: str, literal: str, values: list[str]) -> str | None:
+    """The stored value that the generator says a literal means; None if it names none of them."""
+    listed = "".join(f"- {v}\n" for v in values)
+    asked = f"### Which stored value of {column} does {literal!r} mean? Answer with one line of the list, or NONE.\n-- question: {question}\n{listed}"
+    said = generator.raw(asked) if hasattr(generator, "raw") else None
+    said = " ".join((said or "").strip().strip("'\"").removeprefix("- ").split())
+    return next((v for v in values if v.lower() == said.lower()), None)
+
+
 def repair_prompt(question: str, schema: str, sql: str, error: str, earlier: list[Attempt], values: str) -> str:
     """What the generator is told about a failure."""
     cut = schema if len(schema) <= SCHEMA_MOST else schema[:SCHEMA_MOST] + "\n-- (cut)"
@@ -77,13 +86,17 @@ class Repairer:
                 text = sql
         return text, self.executor.execute(text, db_id)
 
-    def _with_stored_values(self, sql: str, db_id: str) -> str | None:
-        """The statement with literals that the column does not hold replaced by the nearest ones it holds."""
+    def _with_stored_values(self, sql: str, db_id: str, question: str) -> str | None:
+        """The statement with literals that the column does not hold replaced by the nearest ones it holds, or by those that
+        the generator chooses where none is near."""
         out = sql
         for column, literal in literals(sql) if self.values_of else []:
             values = self.values_of(db_id, column)
-            if literal not in values and (best := nearest_value(literal, values)) is not None:
-                out = replace_literal(out, literal, best)
+            if literal not in values:
+                best = nearest_value(literal, values)
+                if best is None and values:
+                    best = choose_value(self.generator, question, column, literal, values)
+                out = out if best is None else replace_literal(out, literal, best)
         return out if out != sql else None
 
     def repair(self, sql: str, db_id: str, question: str, schema: str) -> Outcome:
@@ -91,7 +104,7 @@ class Repairer:
         written = sql
         for k in range(self.attempts + 1):
             text, result = self._run(written, db_id)
-            if not self._good(result) and result.status is Status.EMPTY and (other := self._with_stored_values(text, db_id)):
+            if not self._good(result) and result.status is Status.EMPTY and (other := self._with_stored_values(text, db_id, question)):
                 again = self.executor.execute(other, db_id)
                 if self._good(again):
                     text, result = other, again

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from ..plans import evaluate, prompt
 from ..plans.execute import Executor
 from ..plans.generate import ReplayGenerator
 from ..plans.repair import Repairer
-from ..session import settle
+from ..session import settle, shared_folder
 from ..sources import files
 from ..sources.catalog import render_ddl
 from ..sources.tables import table
@@ -44,7 +44,39 @@ def ask_template(spark, sf):
 
 
 QUERIES["ask_template"] = ask_template
-ORACLES["ask_template"] = "SELECT count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'"
+ORACLES["ask_template"] = "SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY c_custkey"
+
+#: Questions and what they ask for, written from the question and not from the engine's statement.
+ASKED = {
+    "ask_largest": ("What is the largest o_totalprice of orders?", "SELECT max(o_totalprice) AS value FROM orders"),
+    "ask_average_by": ("What is the average s_acctbal of each nation?", "SELECT s_nationkey AS n_nationkey, avg(s_acctbal) AS value FROM supplier GROUP BY s_nationkey"),
+    "ask_total_per": ("Give the total l_quantity per part", "SELECT l_partkey AS p_partkey, sum(l_quantity) AS value FROM lineitem GROUP BY l_partkey"),
+    "ask_smallest_by": ("smallest c_acctbal by c_mktsegment", "SELECT c_mktsegment, min(c_acctbal) AS value FROM customer GROUP BY c_mktsegment"),
+    "ask_count": ("How many parts are there?", "SELECT count(*) AS n FROM part"),
+    "ask_count_value": ("How many orders have the priority 1-URGENT?", "SELECT count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'"),
+    "ask_count_far": ("How many customers per region?", "SELECT n_regionkey AS r_regionkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey"),
+    "ask_count_once": ("How many customers have orders of priority 1-URGENT?", "SELECT count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
+    "ask_list": ("List the region of every nation", "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "ask_which": ("Which customers are in the BUILDING segment?", "SELECT DISTINCT c_name FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "ask_three_tables": ("nation, customer and supplier of each region", "SELECT DISTINCT n_name, c_name, s_name, r_name FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "ask_total_once": ("total c_acctbal of customers with orders of priority 1-URGENT", "SELECT sum(c_acctbal) AS value FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
+}
+_STATEMENTS: dict = {}
+
+
+def _asked(spark, sf) -> dict[str, str]:
+    """The statements for all questions, by one plan."""
+    at = spark.sparkContext.applicationId, sf
+    if at not in _STATEMENTS:
+        rows = [(k, fixtures.DB, q) for k, (q, _) in enumerate(ASKED.values())]
+        made = Engine(spark, star(spark, sf), {fixtures.DB: sf}).statements(spark.createDataFrame(rows, "question_id int, db_id string, question string"), fixtures.DB)
+        _STATEMENTS[at] = {name: made[k] for k, name in enumerate(ASKED)}
+    return _STATEMENTS[at]
+
+
+for _name, (_, _sql) in ASKED.items():
+    QUERIES[_name] = lambda spark, sf, name=_name: _executor(spark, sf).frame(_asked(spark, sf)[name], fixtures.DB)
+    ORACLES[_name] = _sql
 
 
 @query()
@@ -80,8 +112,22 @@ def _scores(spark, sf):
     return settle(evaluate.score(spark, fixtures.predictions(spark), _executor(spark, sf), legacy=True))
 
 
-_EX = {1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True, 8: True, 9: True}
-_SAMPLES = fixtures.values_sql([(p[0], p[3], p[4], int(_EX[p[0]])) for p in fixtures.PREDICTIONS], "index, predicted, gold, ex")
+#: Predictions that name what is not there: no engine runs them.
+_FAILING = (5,)
+
+
+def _rows_sql(sql: str) -> str:
+    """A statement's rows as lists of their cells' texts."""
+    return f"SELECT list_value(*COLUMNS(*)) AS r FROM (SELECT COLUMNS(*)::VARCHAR FROM ({sql}) AS t)"
+
+
+def _same_sql(predicted: str, gold: str) -> str:
+    """Whether two statements give the same bag of rows, cells compared as trimmed lower-case text; empty results are equal."""
+    a, b = (f"SELECT list_transform(r, lambda x: lower(trim(coalesce(x, 'None')))) AS r FROM ({_rows_sql(s)})" for s in (predicted, gold))
+    return f"(NOT EXISTS ({a} EXCEPT ALL {b}) AND NOT EXISTS ({b} EXCEPT ALL {a}))::INT"
+
+
+_SAMPLES = "(SELECT s.*, e.ex FROM " + fixtures.values_sql([(p[0], p[3], p[4]) for p in fixtures.PREDICTIONS], "index, predicted, gold") + " s JOIN (" + " UNION ALL ".join(f"SELECT {p[0]} AS index, {'0' if p[0] in _FAILING else _same_sql(p[3], p[4])} AS ex" for p in fixtures.PREDICTIONS) + ") e ON s.index = e.index)"
 
 
 @query(f"SELECT index, ex = 1 AS exec_match FROM {_SAMPLES}")
@@ -139,10 +185,7 @@ def rescore_translated(spark, sf):
 @query()
 def results_sink_roundtrip(spark, sf):
     """Write the results document, read its predictions back."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="askframe-")
-    at = f"{base.rstrip('/')}/results-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
     scores = _scores(spark, sf).select("index", "db_id", "question", "predicted", "gold", "exact_match", "exec_match", "skeleton_match", "component_scores", "complexity", "error_msg")
     files.write_results(scores, evaluate.overall(_scores(spark, sf)), at)
     return files.read_results(spark, at).select("index", "db_id", "exact_match", "exec_match", "complexity")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, linking, masking, pruning
+from ..session import settle
 from ..sources import catalog as catalogs
 from ..sources.values import cell_values as read_values
 from ..sources.values import dump
@@ -61,13 +62,20 @@ _TEXT = [(t, c.split(":")[0]) for t, cs in _COLUMNS.items() for c in cs.split()
 _VALUES = " UNION ALL ".join(f"(SELECT DISTINCT 'star' AS db_id, '{t}' AS table_name, '{c}' AS col_name, {c} AS value FROM {t} WHERE {c} IS NOT NULL ORDER BY {c} LIMIT 50)" for t, c in _TEXT)
 
 
+_KEPT_VALUES: dict = {}
+
+
 def values(spark, sf):
-    return read_values(spark, sf, star(spark, sf))
+    """Stored values of the star schema, read once in an application and kept."""
+    at = spark.sparkContext.applicationId, sf
+    if at not in _KEPT_VALUES:
+        _KEPT_VALUES[at] = settle(read_values(spark, sf, star(spark, sf)))
+    return _KEPT_VALUES[at]
 
 
 @query(_VALUES)
 def cell_values(spark, sf):
-    return values(spark, sf)
+    return read_values(spark, sf, star(spark, sf))
 
 
 _LINES = f"SELECT db_id, table_name, col_name, table_name || '.' || col_name || ': ' || string_agg(value, ', ' ORDER BY value) AS line FROM (SELECT *, row_number() OVER (PARTITION BY table_name, col_name ORDER BY value) AS r FROM ({_VALUES})) WHERE r <= 20 GROUP BY db_id, table_name, col_name"

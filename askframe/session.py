@@ -38,9 +38,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut a lineage: a reliable checkpoint in the shared folder (spark.checkpoint.dir, a temporary one where unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a temporary one serves a local
+    master; on a cluster that is an error, since a machine's own folder is no shared one."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="askframe-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="askframe-"))
+        sc.setCheckpointDir(base)
+    return base
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut a lineage: a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -25,18 +25,19 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """The predictions of a results document."""
-    return spark.read.schema(f"predictions array<{_struct()}>").option("multiLine", True).json(path).select(F.inline("predictions"))
+    """The predictions of written results."""
+    return spark.read.schema(PREDICTION).json(f"{path}/predictions")
 
 
-def _struct() -> str:
-    return "struct<" + ",".join(":".join(p.strip().split(" ", 1)) for p in PREDICTION.replace("map<string,boolean>", "map<string;boolean>").split(", ")).replace(";", ",") + ">"
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics of written results."""
+    return spark.read.json(f"{path}/metrics")
 
 
 def write_results(scores: DataFrame, metrics: DataFrame, path: str) -> None:
-    """One JSON document {metrics, predictions} in the folder ``path``; the document is built by Spark, in one row."""
-    predictions = scores.agg(F.array_sort(F.collect_list(F.struct(*scores.columns)), lambda a, b: F.when(a["index"] < b["index"], -1).when(a["index"] > b["index"], 1).otherwise(0)).alias("predictions"))
-    metrics.agg(F.first(F.struct(*metrics.columns)).alias("metrics")).crossJoin(predictions).coalesce(1).write.mode("overwrite").json(path)
+    """``path``/predictions as JSON lines, written by as many tasks as there are, and ``path``/metrics, one line."""
+    scores.write.mode("overwrite").json(f"{path}/predictions")
+    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
 
 
 def write_checkpoint(predictions: DataFrame, path: str, batch: int) -> None:

@@ -179,11 +179,11 @@ def test_resolve_and_metadata(spark, sf, tmp_path):
 def test_config(tmp_path, monkeypatch):
     path = tmp_path / "c.yaml"
     path.write_text("test_limit: 7\nuse_mmr: true\n")
-    monkeypatch.setenv("T2SQL_TEST_LIMIT", "9")
+    monkeypatch.setenv("ASKFRAME_TEST_LIMIT", "9")
     c = config.load(str(path), retrieval_top_k=3)
     assert (c.test_limit, c.use_mmr, c.retrieval_top_k) == (9, True, 3)
     config.save(c, str(path))
-    monkeypatch.delenv("T2SQL_TEST_LIMIT")
+    monkeypatch.delenv("ASKFRAME_TEST_LIMIT")
     assert config.load(str(path)) == c
     with pytest.raises(KeyError):
         config.load(str(path), unknown=1)
@@ -204,7 +204,7 @@ def test_prompt_and_generators():
 
 def test_engine(spark, sf):
     c = star(spark, sf)
-    assert Engine(spark, c, {"star": sf}).ask("How many orders per customer of the BUILDING segment?", "star").sql == "SELECT count(*) AS n FROM customer JOIN orders ON customer.c_custkey = orders.o_custkey WHERE customer.c_mktsegment = 'BUILDING'"
+    assert Engine(spark, c, {"star": sf}).ask("How many orders per customer of the BUILDING segment?", "star").sql == "SELECT customer.c_custkey, count(*) AS n FROM orders JOIN customer ON orders.o_custkey = customer.c_custkey WHERE customer.c_mktsegment = 'BUILDING' GROUP BY customer.c_custkey"
     g = generate.ReplayGenerator({"names": ["```sql\nselect nope from customer\n```", "select c_name from customer limit 3"]})
     examples = retrieval.build_examples(spark.createDataFrame([(1, "star", "names of regions", "select r_name from region")], "id int, db_id string, question string, query string"))
     a = Engine(spark, c, {"star": sf}, g, examples, config.Config(sql_timeout_seconds=60)).ask("Give the names", "star")
