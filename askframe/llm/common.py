@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -80,6 +81,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer holds; Spark's cleaner removes the files behind it, some time later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def tidy() -> None:
+    """Give freed memory of a Python worker back, since workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nobody holds any more.  Its cleaner acts when the driver's garbage is
     collected, which a driver with little to do may put off until the disks are full."""

@@ -11,10 +11,10 @@ repeated edges and edges with a null end are ignored; nodes without an edge are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, collect_garbage
 
 #: Rows of one key that one task takes in a join, at least; and how many keys can have more.
 HUB = 100_000
@@ -22,21 +22,21 @@ HUBS = 10_000
 
 
 def with_least(rows: DataFrame, key: str, value: str, name: str, total: int, hub: int = HUB) -> DataFrame:
-    """``rows`` and, as ``name``, the least ``value`` of all rows with the same ``key``; the rows of a hot key stay where they are."""
-    hot = max(hub, total // HUBS)
+    """``rows`` and, as ``name``, the least ``value`` of all rows with the same ``key``; the rows of a hot key stay where they are,
+    those of others meet in a window, by one exchange."""
+    hot, least = max(hub, total // HUBS), F.min(value).over(Window.partitionBy(key)).alias(name)
     if total <= hot:
-        return rows.join(rows.groupBy(key).agg(F.min(value).alias(name)), key)
+        return rows.select("*", least)
     rows = checkpoint(rows)
-    least = rows.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("_n"))
-    hubs = F.broadcast(least.where(F.col("_n") > hot).drop("_n"))  # total / hot at most, so 10,000 at most
-    usual = rows.join(hubs, key, "left_anti").join(least.where(F.col("_n") <= hot).drop("_n"), key)
-    return usual.unionByName(rows.join(hubs, key))
+    counts = rows.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("_n"))
+    hubs = F.broadcast(counts.where(F.col("_n") > hot).drop("_n"))  # total / hot at most, so 10,000 at most
+    return rows.join(hubs, key, "left_anti").select("*", least).unionByName(rows.join(hubs, key))
 
 
 def _large_star(edges: DataFrame, total: int, hub: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     rows = with_least(both, "u", "v", "m", 2 * total, hub)
-    return rows.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return rows.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame, total: int, hub: int) -> DataFrame:
@@ -55,6 +55,7 @@ def components(edges: DataFrame, rounds: int = 60, hub: int = HUB) -> DataFrame:
             break
         before = sign
         edges = checkpoint(_small_star(_large_star(edges, sign[0], hub), sign[0], hub))
+        collect_garbage(edges.sparkSession)  # the shuffle files of the rounds before
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -38,6 +38,8 @@ MOST = 1024
 #: Bits left in a bucket at which it is cut no further: it has 1,024 members at most.
 LEFT = 10
 LANES = 4096
+#: Pairs held before they are folded into labels.
+FOLD = 50_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -119,27 +121,49 @@ def _alive(planes: list[int], s: int, lanes: int, radius: int) -> int:
     return lanes
 
 
-def sliced_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (i, j) of all pairs with equal keys (sorted) that differ in at most ``radius`` bits.  A fingerprint is a word of
-    64 bits, or a row of such words."""
+def _sliced(keys: np.ndarray, fps: np.ndarray, radius: int):
+    """``sliced_pairs`` by distance in the order of the lanes."""
     n = len(fps)
     bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     planes = [_number(bits[:, k]) for k in range(bits.shape[1])]
     near = _number(keys[:-1] == keys[1:])  # lane i: i and i + 1 share a bucket
-    valid, left, right, s = near, [], [], 1
+    valid, s = near, 1
     while valid:
         alive = _alive(planes, s, valid, radius)
         if alive:
             at = np.flatnonzero(np.unpackbits(np.frombuffer(alive.to_bytes(-(-n // 8), "little"), np.uint8), bitorder="little"))
-            left.append(at)
-            right.append(at + s)
+            yield at, at + s
         valid &= near >> s
         s += 1
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def sliced_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes (i, j) of all pairs with equal keys (sorted) that differ in at most ``radius`` bits.  A fingerprint is a word of
+    64 bits, or a row of such words."""
+    none = np.zeros(0, np.int64)
+    left, right = zip((none, none), *_sliced(keys, fps, radius), strict=True)
     return np.concatenate(left), np.concatenate(right)
 
 
+def sliced_labels(keys: np.ndarray, fps: np.ndarray, radius: int, also=None) -> np.ndarray:
+    """The smallest index that each lane reaches over such pairs, those only that ``also`` (i, j) lets through; pairs are
+    folded into labels some at a time, so that no list of all pairs is held."""
+    n = len(fps)
+    label, left, right, held = np.arange(n), [], [], 0
+    for i, j in _sliced(keys, fps, radius):
+        if also is not None:
+            ok = also(i, j)
+            i, j = i[ok], j[ok]
+        new = label[i] != label[j]
+        left.append(label[i[new]])
+        right.append(label[j[new]])
+        held += int(new.sum())
+        if held > FOLD:
+            label = _stars(n, np.concatenate(left), np.concatenate(right))[label]
+            left, right, held = [], [], 0
+    return _stars(n, np.concatenate(left), np.concatenate(right))[label] if held else label
+
+
 def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest index that each of n indexes reaches over pairs (i, j)."""
     label = np.arange(n)
@@ -165,10 +189,9 @@ def _compare(keys: np.ndarray, fps: np.ndarray, radius: int):
     while start < len(keys):
         k = max(int(np.searchsorted(ends, start + LANES, side="right")) - 1, int(np.searchsorted(ends, start, side="right")))
         end = int(ends[k])
-        i, j = sliced_pairs(keys[start:end], fps[start:end], radius)
-        if len(i):
-            label = _stars(end - start, i, j)
-            own = np.flatnonzero(label != np.arange(end - start))
+        label = sliced_labels(keys[start:end], fps[start:end], radius)
+        own = np.flatnonzero(label != np.arange(end - start))
+        if len(own):
             yield fps[start:end][own].view(np.int64), fps[start:end][label[own]].view(np.int64)
         start = end
 

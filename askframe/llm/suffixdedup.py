@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import checkpoint, id_and_text, partitions, release, slices, text_bytes
+from .common import checkpoint, id_and_text, partitions, release, slices, text_bytes, tidy
 
 WINDOW = 100
 GRAM = 32
@@ -397,6 +397,7 @@ def _ship(owners: int, window: int):
                     held, spread, size = [], [], 0
         if held or spread:
             yield rows(held, spread)
+        tidy()
 
     return run
 
@@ -440,7 +441,9 @@ def _sort(window: int, parts: int, block: int = BLOCK):
             every = np.concatenate((left[more], np.flatnonzero(repeat)))
             out_doc.append(doc[every])
             out_start.append(start[every].astype(np.int64))
-        return _runs(np.concatenate(out_doc), np.concatenate(out_start), parts)
+        found = _runs(np.concatenate(out_doc), np.concatenate(out_start), parts)
+        tidy()
+        return found
 
     return run
 
@@ -466,6 +469,7 @@ def _found(known: DataFrame, window: int, gram: int, most: int) -> DataFrame:
                     held, count = [], 0
             if count:
                 yield flush(held)
+        tidy()
 
     sent = known.mapInArrow(anchors, "owner int, blob binary")
     decided = sent.groupBy("owner").applyInArrow(lambda table: _decide(table, most, owners), _PARTS)
@@ -543,6 +547,7 @@ def _removals(docs: DataFrame, window: int, gram: int, most: int, texts: bool) -
             if texts:
                 arrays, names = [*arrays, pa.array(cols[4], pa.string()), batch.column(3)], [*names, "kept_text", "row"]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        tidy()
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return joined.mapInArrow(run, f"{kinds}, kept_text string, row {docs.schema['row'].dataType.simpleString()}" if texts else kinds)
