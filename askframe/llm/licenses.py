@@ -1,9 +1,10 @@
 """Licence scans by ordered signature rules, in DataFrame functions alone.
 
-Rules are regular expressions over a text's words, made from licence names and wordings.  Only texts with what
-some wording has whatever the name ("licen", "released under" and the like, "terms of the") are scanned; each rule is then
-gated by its keyword.  Detections are intervals of
-words: sorted by start, the longer and then the higher priority first, one that another contains is suppressed.
+Rules are regular expressions over a text's words (``licenserules``): hand-written sentences of licence bodies, notices and
+identifiers, and names in a few wordings.  Each is gated by its own keyword, a run of words that all its matches hold; there
+is no other gate.  Detections are intervals of words, taken in the order of their starts, of equal starts the longer first,
+then the higher priority, then by label.  One that shares a word with the last one kept takes its place if its priority is
+higher, and is suppressed if not; so one that another of at least its priority contains is always suppressed.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.  Base detections are places where a
 phrase's words stand in a row; they are never suppressed.  Defined results: a null or empty text has no words and no
@@ -16,97 +17,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .licenserules import rules
+
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Labels and the names that licences of that label go by, in words.
-NAMES = """
-0bsd: zero clause bsd
-afl: academic free
-agpl: affero general public | gnu affero general public | agpl
-apache: apache | apache software
-artistic: artistic | perl artistic
-bsd: bsd | berkeley software distribution
-bsd-2-clause: bsd 2 clause | simplified bsd | freebsd
-bsd-3-clause: bsd 3 clause | new bsd | modified bsd | revised bsd
-bsd-4-clause: bsd 4 clause | original bsd
-bsl: business source
-boost: boost software | boost
-cc0: creative commons zero | cc0
-cc-by: creative commons attribution | cc by
-cc-by-nc: creative commons attribution noncommercial | cc by nc
-cc-by-sa: creative commons attribution sharealike | cc by sa
-cddl: common development and distribution | cddl
-cecill: cecill
-cpl: common public
-ecl: educational community
-epl: eclipse public | epl
-eupl: european union public | eupl
-gfdl: gnu free documentation | free documentation | gfdl
-gpl: general public | gnu general public | gpl
-isc: isc | internet systems consortium
-lgpl: lesser general public | library general public | gnu lesser general public | lgpl
-mit: mit | expat | x11
-mpl: mozilla public | mpl
-ms-pl: microsoft public
-ncsa: university of illinois ncsa open source | ncsa
-odbl: open database | odbl
-ofl: sil open font | open font
-openssl: openssl
-osl: open software
-php: php
-postgresql: postgresql
-psf: python software foundation
-public-domain: public domain | unlicense
-qpl: q public
-ruby: ruby
-sspl: server side public | sspl
-sleepycat: sleepycat
-unicode: unicode
-vim: vim
-w3c: w3c software notice and
-wtfpl: do what the fuck you want to public | wtfpl
-zlib: zlib | zlib libpng
-zpl: zope public
-"""
-
-#: Wordings around a name, those that say more having the higher priority.
-WORDINGS = (
-    (7, "spdx licen[sc]e identifier {name}(?: licen[sc]e)?(?: v?[0-9]+(?: [0-9]+)?)?(?: only| or later)?"),
-    (6, "licensed under the {name} licen[sc]e(?: version)? v?[0-9]+(?: [0-9]+)?"),
-    (5, "{name} licen[sc]e(?: version)? v?[0-9]+(?: [0-9]+)?(?: or later| only)?"),
-    (4, "(?:released|distributed|available|provided|licensed|covered) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?"),
-    (3, "{name} licen[sc]e(?: agreement)?"),
-    (2, "terms (?:and conditions )?of the {name}"),
-    (1, "{name} licensed"),
-)
-
-#: What a text must contain, in any case, to be scanned for phrases and rules at all.
-_GAP = "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
-GATE = f"licen|(?:released|distributed|available|provided|covered){_GAP}under|terms{_GAP}(?:and{_GAP}conditions{_GAP})?of{_GAP}the"
-
-
-def rules() -> list[tuple[str, str, int, str]]:
-    """(label, keyword, priority, regular expression), the highest priority first: each name in each wording."""
-    out = []
-    for line in NAMES.strip().splitlines():
-        label, _, names = line.partition(": ")
-        for name in names.split(" | "):
-            for priority, wording in WORDINGS:
-                out.append((label, name, priority, "(?<= )" + wording.format(name=name) + "(?= )"))
-    return sorted(out, key=lambda r: -r[2])
-
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    rows = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))
-    gated = F.col("text").rlike(f"(?i){GATE}")
-    # The same words in any case; a class of what words hold is faster than one of what they don't.
-    n_words = F.size(F.regexp_extract_all("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"), F.lit(0)))
-    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.when(gated, F.col("text")).alias("text"))
-    words = F.regexp_extract_all(F.translate("text", upper, lower), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
-    rows = rows.withColumn("words", F.when(F.col("text").isNotNull(), words)).drop("text")
+    rows = docs.select(docs["doc_id"], F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    # A class of what words hold is faster than one of what they don't.
+    words = F.regexp_extract_all(F.translate("text", upper, lower), F.lit("[0-9a-z\\x{80}-\\x{10FFFF}]+"), F.lit(0))
+    rows = rows.withColumn("words", words).drop("text").withColumn("n_words", F.size("words").cast("long"))
 
     # Base phrases: starts of each, by the words that follow.
     rows = rows.withColumn("norm", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
@@ -129,12 +52,12 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", base).drop(*at)
 
     # Rules: those whose keyword is there, then their intervals by marks put around each match.
-    by_name: dict[tuple[str, str], list] = {}
-    for label, name, priority, pattern in rules():
-        by_name.setdefault((label, name), []).append(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(pattern).alias("pattern")))
-    table = F.array(*[F.struct(F.lit(f" {name} ").alias("keyword"), F.array(*own).alias("rules")) for (_, name), own in by_name.items()])
+    by_keyword: dict[str, list] = {}
+    for label, keyword, priority, pattern in rules():
+        by_keyword.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(pattern).alias("pattern")))
+    table = F.array(*[F.struct(F.lit(f" {keyword} ").alias("keyword"), F.array(*own).alias("rules")) for keyword, own in by_keyword.items()])
     present = F.flatten(F.transform(F.filter(table, lambda k: F.col("norm").contains(k["keyword"])), lambda k: k["rules"]))
-    rows = rows.withColumn("rules", F.when(F.col("norm").isNotNull(), present))
+    rows = rows.withColumn("rules", present)
 
     def intervals(r: Column) -> Column:
         marked = F.split(F.regexp_replace("norm", r["pattern"], F.lit("\x01$0\x02")), " ")
@@ -144,11 +67,18 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.when(F.regexp_like("norm", r["pattern"]), found).otherwise(F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>"))
 
     rows = rows.withColumn("found", F.array_sort(F.flatten(F.transform("rules", intervals)))).drop("rules", "norm", "words")
-    nothing = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("n"))
-    sweep = F.aggregate("found", nothing, lambda s, x: F.when(-x["end"] <= s["reach"], s).otherwise(F.struct((-x["end"]).alias("reach"), F.array_union(s["labels"], F.array(x["label"])).alias("labels"), (s["n"] + 1).alias("n"))))
-    rows = rows.withColumn("kept", sweep)
-    n = F.coalesce(F.col("kept")["n"], F.lit(0))
     none = F.array().cast("array<string>")
+    nothing = F.struct(F.lit(-1).alias("reach"), F.lit(0).alias("priority"), F.lit(None).cast("string").alias("label"), none.alias("labels"), F.lit(0).alias("n"))
+
+    def taken(s: Column, x: Column) -> Column:
+        over = x["start"] <= s["reach"]  # shares a word with the one that is kept so far
+        labels = F.when(over | s["label"].isNull(), s["labels"]).otherwise(F.array_union(s["labels"], F.array(s["label"])))
+        own = F.struct((-x["end"]).alias("reach"), x["priority"].alias("priority"), x["label"].alias("label"), labels.alias("labels"), (s["n"] + F.when(over, 0).otherwise(1)).alias("n"))
+        return F.when(over & (x["priority"] >= s["priority"]), s).otherwise(own)  # priorities are negative here
+
+    settled = lambda s: F.struct(F.when(s["label"].isNull(), s["labels"]).otherwise(F.array_union(s["labels"], F.array(s["label"]))).alias("labels"), s["n"].alias("n"))
+    rows = rows.withColumn("kept", F.aggregate("found", nothing, taken, settled))
+    n = F.coalesce(F.col("kept")["n"], F.lit(0))
     return rows.select(
         "doc_id", "n_words", "n_base",
         F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),

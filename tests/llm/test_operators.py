@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from askframe.llm import bpe, components, exactdedup, langid, licenses, packing, quality, simhash, suffixdedup, tokenfiles, toxicity
+from askframe.llm import bpe, components, exactdedup, langid, licenserules, licenses, packing, quality, simhash, suffixdedup, tokenfiles, toxicity
 from askframe.llm.tokens import encoder, vocabulary
 
 VOCAB = vocabulary()
@@ -132,16 +132,18 @@ def scan_brute(t):
                 starts.append(i)
                 base.add(label)
     found, norm = [], " " + " ".join(w) + " "
-    if "licen" in t.lower():
-        for label, _, priority, pattern in licenses.rules():
-            for m in re.finditer(pattern, norm):
-                s = norm.count(" ", 0, m.start())
-                found.append((s, -(s + m.group().count(" ")), -priority, label))
-    labels, reach = set(base), -1
-    for _, end, _, label in sorted(found):
-        if -end > reach:
-            reach = -end
-            labels.add(label)
+    for label, _, priority, pattern in licenserules.rules():  # every rule, whatever its keyword
+        for m in re.finditer(pattern, norm, re.ASCII):
+            s = norm.count(" ", 0, m.start())
+            found.append((s, -(s + m.group().count(" ")), -priority, label))
+    kept = []
+    for d in sorted(found):
+        if kept and d[0] <= -kept[-1][1]:
+            if d[2] < kept[-1][2]:
+                kept[-1] = d
+        else:
+            kept.append(d)
+    labels = base | {d[3] for d in kept}
     return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels))
 
 
@@ -152,7 +154,55 @@ def test_licenses(spark, docs, texts):
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     got = {r["doc_id"]: tuple(r)[1:7] for r in licenses.scan(df).collect()}
     assert got == {i: scan_brute(t) for i, t in enumerate(made)}
-    assert got[1][5] == "gpl,lgpl" and got[4][5] == "apache"
+    assert got[1][5] == "gpl,lgpl-2.1" and got[4][5].startswith("apache")
+
+
+def example(pattern, rng):
+    """A text that an expression matches."""
+    import re._constants as c
+    import re._parser as p
+
+    def made(items):
+        out = ""
+        for op, arg in items:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                kind, own = rng.choice(arg)
+                out += chr(own) if kind is c.LITERAL else chr(rng.randint(*own)) if kind is c.RANGE else rng.choice("0123456789")
+            elif op is c.MAX_REPEAT:
+                low, high, inner = arg
+                out += "".join(made(inner) for _ in range(rng.randint(low, min(high, low + 2))))
+            elif op is c.SUBPATTERN:
+                out += made(arg[-1])
+            elif op is c.BRANCH:
+                out += made(rng.choice(arg[1]))
+            elif op is not c.ASSERT:
+                raise ValueError(op)
+        return out
+
+    return made(p.parse(pattern.replace("\\S", "x").replace("\\d", "[0-9]")))
+
+
+def test_every_rule_is_found_by_its_keyword(spark):
+    rng, texts = random.Random(3), []
+    for label, keyword, _, pattern in licenserules.rules():
+        for _ in range(2):
+            t = example(pattern, rng)
+            assert f" {keyword} " in f" {t} ", (label, keyword, t)
+            texts.append("by the " + t + " of all")
+    texts += [" ".join(rng.sample(texts, 3)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:7] for r in licenses.scan(df).collect()}
+    assert got == {i: scan_brute(t) for i, t in enumerate(texts)}
+
+
+def test_licence_texts(spark):
+    made = {"Distributed under the terms of the GPL": "gpl", "Released under the WTFPL": "wtfpl", "This work is in the public domain, see CC0": "cc0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+            "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd", "Licensed under the GNU Lesser General Public License, version 2.1": "gpl,lgpl-2.1", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0+",
+            "a licence to drive with a mit of 3": "", "nothing": ""}
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()} == dict(enumerate(made.values()))
 
 
 def test_licenses_odd(odd):
