@@ -1,12 +1,12 @@
 """Language identification with language-bitmask n-gram filters.
 
 The commonest byte n-grams of each language go into one bit-sliced Bloom filter: a row of the table is a mask with a bit
-for each language, and looking up an n-gram ANDs a few rows, which gives every language that has it.  A text's n-grams
+for each language, of one byte for up to eight languages, else of as many 64-bit words as they need, and looking up an n-gram ANDs a few rows, which gives every language that has it.  A text's n-grams
 are looked up all at once; per language the bits are counted, the count is corrected for the filter's measured rate of
 false positives, and the language with the largest corrected share wins.
 
 The model is fitted on at most about ``sample`` labelled documents of each language (chosen by a hash of doc_id), which
-bounds it whatever the corpus; every document is then scored whole.
+bounds it whatever the corpus (the driver holds ``top`` n-grams of each language); every document is then scored whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text where there is nothing to
 learn from; a text too short for an n-gram gets the commonest language with score 0; ties go to the language that sorts
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -87,13 +87,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, top: int = TOP, rows: int = ROWS,
     ship(docs.sparkSession)
     crc = F.crc32(docs["doc_id"].cast("string").cast("binary"))
     train = docs.where((crc % FOLDS != HELD_OUT) & docs["lang"].isNotNull() & docs["text"].isNotNull()).select("doc_id", "text", "lang")
-    counts = {r[0]: r[1] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(65).collect()}
-    if len(counts) > 64:
-        raise ValueError("a mask of 64 bits holds 64 languages at most")
+    counts = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}  # a row a language
     if not counts:
-        return Model([], np.zeros(rows, np.uint64), np.zeros(0), 0)
+        return Model([], np.zeros((rows, 1), np.uint64), np.zeros(0), 0)
     languages = sorted(counts)
     even = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    number = {lang: k for k, lang in enumerate(languages)}
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / counts[lang]))])
     chosen = train.where(even < share[F.col("lang")]).select("lang", "text")
 
@@ -107,15 +106,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, top: int = TOP, rows: int = ROWS,
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
     grams = checkpoint(chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
-    # One bounded top list a language, each merged from the tasks' own.
-    table = np.zeros(rows, np.uint64)
-    for k, lang in enumerate(languages):
-        best = grams.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(top).select("code").toPandas()["code"].to_numpy(np.uint32)
-        for at in places(best, rows, hashes):
-            table[at] |= np.uint64(1 << k)
-    kind = np.uint8 if len(languages) <= 8 else np.uint64
-    full = np.array([(table >> np.uint64(k) & np.uint64(1)).mean() for k in range(len(languages))])
-    return Model(languages, table.astype(kind), full**hashes, languages.index(max(languages, key=lambda x: (counts[x], x))))
+    # A top list of each language; a language's n-grams are bounded by the sample.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    best = grams.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "code").toPandas()
+    kind, width = (np.uint8, 8) if len(languages) <= 8 else (np.uint64, 64)
+    table = np.zeros((rows, -(-len(languages) // width)), kind)
+    for lang, own in best.groupby("lang"):
+        word, bit = divmod(number[lang], width)
+        for at in places(own["code"].to_numpy(np.uint32), rows, hashes):
+            table[at, word] |= kind(1 << bit)
+    full = np.array([(table[:, k // width] >> kind(k % width) & kind(1)).mean() for k in range(len(languages))])
+    return Model(languages, table, full**hashes, number[max(languages, key=lambda x: (counts[x], x))])
 
 
 def score_texts(model: Model, hashes: int, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +127,9 @@ def score_texts(model: Model, hashes: int, data: np.ndarray, off: np.ndarray) ->
     mask = model.rows[first]
     for at in rest:
         mask = mask & model.rows[at]
+    kind, width = mask.dtype.type, 8 * mask.dtype.itemsize
     total = np.bincount(doc, minlength=n).astype(float)
-    hits = np.stack([np.bincount(doc, weights=(mask >> mask.dtype.type(k)) & mask.dtype.type(1), minlength=n) for k in range(some)], axis=1)
+    hits = np.stack([np.bincount(doc, weights=(mask[:, k // width] >> kind(k % width)) & kind(1), minlength=n) for k in range(some)], axis=1)
     true = np.clip((hits - total[:, None] * model.false) / (1 - model.false), 0, None)
     best = true.argmax(axis=1)
     value = true[np.arange(n), best] / np.maximum(total, 1)

@@ -3,11 +3,11 @@
 Everything is DataFrame and SQL functions: no Python runs on the rows.  Each document's counts are taken once; KLL quantile
 sketches of its ratios are aggregated per language and source and merged into one per language, and fences from their
 quantiles replace fixed cutoffs: ``q75 + reach * (q75 - q25)``, but never under the sketch's ``q98`` nor under a floor below
-which a ratio is no sign of anything.  Groups too small for their own quantiles use those of their language.  The
-fences are joined back, and a document is kept if it passes the fixed base rules and every fence.
+which a ratio is no sign of anything.  A group's fence and its language's are blended by the group's size: of n rows against
+``least``, the group's own counts n / (n + least), at every size.  The fences are joined back, and a document is kept if it passes the fixed base rules and every fence.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and sources are groups of their
-own; ties at a fence pass; repeated rows and a null doc_id are judged like any row; an empty table gives an empty table;
+own, apart from empty strings; ties at a fence pass; repeated rows and a null doc_id are judged like any row; an empty table gives an empty table;
 of extra columns none matters.
 """
 
@@ -27,7 +27,7 @@ _WORD = "[^\\x20\\x09-\\x0D]+"
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    rows = docs.select(docs["doc_id"], F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows = docs.select(docs["doc_id"], docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     rows = rows.select(
         "doc_id", "lang", "source", "words",
@@ -71,14 +71,18 @@ def fences(rows: DataFrame, reach: float = REACH, least: int = LEAST_ROWS) -> Da
     own = some.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c).alias(c) for c in FLOORS])
     own = checkpoint(own)
     wide = own.groupBy("lang").agg(*[F.kll_merge_agg_double(c).alias(f"all_{c}") for c in FLOORS])
-    both = own.join(wide, "lang")
-    return both.select("lang", "source", *[_fence(F.when(F.col("n") >= least, F.col(c)).otherwise(F.col(f"all_{c}")), floor, reach).alias(f"fence_{c}") for c, floor in FLOORS.items()])
+    own, wide = own.alias("o"), wide.alias("w")
+    both = own.join(wide, F.col("o.lang").eqNullSafe(F.col("w.lang")))
+    part = F.col("n") / (F.col("n") + least)
+    blend = lambda c, floor: part * _fence(F.col(c), floor, reach) + (1 - part) * _fence(F.col(f"all_{c}"), floor, reach)
+    return both.select("o.lang", "o.source", *[blend(c, floor).alias(f"fence_{c}") for c, floor in FLOORS.items()])
 
 
 def judge(docs: DataFrame, reach: float = REACH, least: int = LEAST_ROWS) -> DataFrame:
     """Per document: doc_id, counts, base_failed, kept, and the ratios that crossed their fences as ``crossed``."""
     rows = checkpoint(_ratios(measures(docs)))
-    joined = rows.join(fences(rows, reach, least), ["lang", "source"], "left")
+    fence = fences(rows, reach, least).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    joined = rows.join(fence, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     crossed = F.array_compact(F.array(*[F.when(F.col(c) > F.col(f"fence_{c}"), F.lit(c)) for c in FLOORS]))
     out = joined.withColumn("crossed", F.array_join(crossed, ","))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("crossed") == "")).alias("kept"), "crossed")

@@ -3,7 +3,8 @@
 Many voters look at each labelled training document: lexicon voters (a word, or words with a common beginning, that occur
 far more often in toxic documents) and pattern voters (shouting, exclamations, second person, several lexicon hits).  A
 generative label model estimates by expectation maximisation how often each voter fires on either class, and from what
-is left unexplained how voters correlate; voters that say the same share their weight.  A linear classifier over words and
+is left unexplained how voters correlate; voters that say the same share their weight.  The row's own label is one more voter,
+whose accuracy is estimated from its and the voters' covariances.  A linear classifier over words and
 word beginnings is trained on the posterior labels and scores every whole text.
 
 The model is fitted on about ``sample`` labelled documents, chosen by a hash of doc_id, outside the held-out fold; labels,
@@ -55,6 +56,31 @@ def features(words: set[str]) -> set[str]:
     return out
 
 
+def estimate_trust(votes: np.ndarray, given: np.ndarray, most: int = 40, usual: float = 0.98) -> float:
+    """How often given labels are right, from how they and pairs of voters agree.
+
+    Where label and two voters are independent within a class, cov(label, a) cov(label, b) / cov(a, b) does not depend on the
+    voters: it is (2 t - 1) ** 2 p (1 - p) for a trust of t and a share p of class 1, and p follows from t and the share of
+    labels that are 1.  The median over pairs of the ``most`` voters that go best with the label, but for echoes of each other,
+    gives t; without such pairs it is ``usual``."""
+    n = len(votes)
+    g, v = given - given.mean(), votes - votes.mean(axis=0)
+    with_label = g @ v / n
+    best = np.argsort(-with_label, kind="stable")[:most]
+    best = best[with_label[best] > 0]
+    both = v[:, best].T @ v[:, best] / n
+    scale = np.sqrt(np.clip(np.diag(both), 1e-12, None))
+    a, b = np.triu_indices(len(best), 1)
+    like = both[a, b] / (scale[a] * scale[b])
+    use = (like > 4 / np.sqrt(n)) & (like < 0.6)
+    if not use.any():
+        return usual
+    c = np.median(with_label[best[a[use]]] * with_label[best[b[use]]] / both[a[use], b[use]])
+    t = np.linspace(0.7, 0.995, 296)
+    p = np.clip((given.mean() - 1 + t) / (2 * t - 1), 0.0, 1.0)
+    return float(t[np.abs((2 * t - 1) ** 2 * p * (1 - p) - c).argmin()])
+
+
 def label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.98, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row of 0/1 votes, the rates at which voters fire on classes 0 and 1, and correlations.
 
@@ -149,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int =
         votes[i, hits] = 1
         votes[i, len(lexicon)] = len({label[lexicon[h]].rpartition(":")[2][:4] for h in hits}) >= 2
     votes[:, len(lexicon) + 1 :] = [[int(x) for x in r.flags] for r in got]
-    post, rates, correlation = label_model(votes, toxic)
+    post, rates, correlation = label_model(votes, toxic, estimate_trust(votes, toxic))
     # Only features that speak for class 1 beyond chance take part: the absence of a common word says nothing.
     soft = np.bincount(np.concatenate(rows), weights=np.repeat(post, [len(r) for r in rows]), minlength=len(label))
     odds = np.log((soft + 0.5) / (post.sum() + 1)) - np.log((of - soft + 0.5) / ((1 - post).sum() + 1))
