@@ -100,7 +100,7 @@ cddl-1.0 ; 9 ; common development and distribution ; common development and dist
 cddl-1.1 ; 9 ; common development and distribution ; common development and distribution {l}(?: cddl)?(?: version)? 1 1
 cddl ; 8 ; common development and distribution ; (?:subject to the terms of the )?common development and distribution {l}
 cc0 ; 9 ; creative commons ; creative commons cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?
-cc0 ; 8 ; public domain see cc0 ; (?:in the |dedicated to the )?public domain see cc0
+cc0 ; 9 ; public domain see cc0 ; (?:in the |dedicated to the )?public domain see cc0
 cc0 ; 8 ; cc0 1 0 ; cc0 1 0(?: universal)?
 cc0 ; 9 ; to the extent possible under law ; to the extent possible under law (?:\S+ ){1,12}has waived all copyright and related or neighboring rights
 cc-by-4.0 ; 9 ; creative commons attribution 4 0 ; creative commons attribution 4 0(?: international)?(?: public)?(?: {l})?

@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force version, and on nulls, empties, ties, repeated rows and odd columns."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -121,6 +122,11 @@ def test_label_model_discounts_echoes():
 # --- 3 -----------------------------------------------------------------------------------------------------------
 
 
+@functools.cache
+def compiled():
+    return [(label, priority, re.compile(pattern, re.ASCII)) for label, _, priority, pattern in licenserules.rules()]
+
+
 def scan_brute(t):
     t = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)
@@ -132,8 +138,8 @@ def scan_brute(t):
                 starts.append(i)
                 base.add(label)
     found, norm = [], " " + " ".join(w) + " "
-    for label, _, priority, pattern in licenserules.rules():  # every rule, whatever its keyword
-        for m in re.finditer(pattern, norm, re.ASCII):
+    for label, priority, pattern in compiled():  # every rule, whatever its keyword
+        for m in pattern.finditer(norm):
             s = norm.count(" ", 0, m.start())
             found.append((s, -(s + m.group().count(" ")), -priority, label))
     kept = []
