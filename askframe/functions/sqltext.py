@@ -178,7 +178,7 @@ def clean_generated(raw: str) -> str:
     fenced = re.search(r"```(?:sql)?\s*(.*?)\s*```", raw, re.DOTALL | re.IGNORECASE)
     text = (fenced.group(1) if fenced else raw).strip()
     text = re.split(r";(?=(?:[^'\"]|'[^']*'|\"[^\"]*\")*$)", text, maxsplit=1)[0]
-    text = " ".join(text.replace("`", "").split())
+    text = re.sub(rf"({_STRING})|`|\s+", lambda m: m.group(1) or ("" if m.group() == "`" else " "), text).strip()
     text = re.sub(r"(?i)^(?:select\s+)+(?=select\b)", "", text)
     return text if re.match(r"(?i)(select|with)\b", text) else f"SELECT {text}"
 

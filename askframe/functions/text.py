@@ -95,7 +95,7 @@ def mask_literals(text: Column | str) -> Column:
 def value_candidates(text: Column | str, most: int = 4) -> Column:
     """Substrings of a question that may be values: quoted ones, then content n-grams, the longest first; each once."""
     grams = F.transform(ngrams(content_tokens(text), most), lambda g: F.translate(g["gram"], "_", " "))
-    spans = F.filter(F.transform(F.concat(quoted_spans(text), grams), F.trim), lambda s: F.length(s) >= 2)
+    spans = F.filter(F.transform(F.concat(quoted_spans(text), grams), lambda s: F.trim(s)), lambda s: F.length(s) >= 2)
     kept = F.aggregate(spans, F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("out")), lambda a, s: F.when(F.array_contains(a["keys"], F.lower(s)), a).otherwise(F.struct(F.concat(a["keys"], F.array(F.lower(s))).alias("keys"), F.concat(a["out"], F.array(s)).alias("out"))))
     return kept["out"]
 

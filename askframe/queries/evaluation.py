@@ -87,12 +87,23 @@ def prompts(spark, sf):
     return prompt.build_all(q, render_ddl(c), prompt.hints(link(q, c, v, semantic=False), c, v)).select("question_id", "prompt")
 
 
-@query()
+_MORE = [(100, "drop table customer"), (101, "select nope from customer"), (102, "select c_name from customer where c_custkey < 0"), (103, "select c_name , max ( c_acctbal ) from customer group by c_mktsegment")]
+#: Statements that no engine runs, and their class; double-quoted text and loose grouping are said in standard SQL.
+_CLASSES = {100: "syntax_error", 101: "runtime_error", 7: "runtime_error"}
+_STANDARD = {11: "select distinct p_brand from part where p_type = 'x  y' or p_brand != 'Brand#1'", 103: "select c_mktsegment from customer group by c_mktsegment"}
+
+
+def _outcome(k: int, sql: str) -> str:
+    if k in _CLASSES:
+        return f"SELECT {k} AS sql_id, '{_CLASSES[k]}' AS status, 0::BIGINT AS n, false AS truncated"
+    return f"SELECT {k}, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'success' END, least(count(*), 1000), count(*) > 1000 FROM ({_STANDARD.get(k, sql).rstrip(';')}) AS t"
+
+
+@query(" UNION ALL ".join(_outcome(k, s) for k, s in sorted([*fixtures.STATEMENTS, *_MORE], key=lambda x: (x[0] not in _CLASSES, x[0]))))
 def execute_status(spark, sf):
     """Outcome of each inline statement: status, rows and whether rows were cut."""
     x = _executor(spark, sf)
-    more = [(100, "drop table customer"), (101, "select nope from customer"), (102, "select c_name from customer where c_custkey < 0"), (103, "select c_name , max ( c_acctbal ) from customer group by c_mktsegment")]
-    rows = [(i, (r := x.execute(s, fixtures.DB)).status.value, len(r.rows), r.truncated) for i, s in [*fixtures.STATEMENTS, *more]]
+    rows = [(i, (r := x.execute(s, fixtures.DB)).status.value, len(r.rows), r.truncated) for i, s in [*fixtures.STATEMENTS, *_MORE]]
     return spark.createDataFrame(rows, "sql_id int, status string, n int, truncated boolean")
 
 
@@ -182,7 +193,7 @@ def rescore_translated(spark, sf):
     return evaluate.rescore_translated(samples, names).select("index", "predicted_en", "gold_en", "exact_match")
 
 
-@query()
+@query(f"SELECT index, 'star' AS db_id, {_EM} AS exact_match, ex = 1 AS exec_match, {_LEVEL} AS complexity FROM {_SAMPLES}")
 def results_sink_roundtrip(spark, sf):
     """Write the results document, read its predictions back."""
     at = f"{shared_folder(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
@@ -222,6 +233,9 @@ def merge_union_all(spark, sf):
     return d.unionByName(table(spark, sf, "labels").select(F.lit("l").alias("part"), F.col("doc_id").alias("id")), allowMissingColumns=True)
 
 
-@query()
+_WORDS = "len(regexp_split_to_array(trim({}), '\\s+'))"
+
+
+@query(f"SELECT count(*) AS questions, count(DISTINCT db_id) AS databases, avg({_WORDS.replace('{}', 'question')}) AS mean_words, avg({_WORDS.replace('{}', 'gold')}) AS mean_sql_words FROM " + fixtures.values_sql([(p[1], p[2], p[4]) for p in fixtures.PREDICTIONS], "db_id, question, gold"))
 def profile_questions(spark, sf):
     return profiling.profile_questions(fixtures.predictions(spark).withColumnRenamed("gold", "query"))

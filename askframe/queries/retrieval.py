@@ -50,7 +50,17 @@ def vec_dedup_topk(spark, sf):
     return retrieval.distinct_top_k(near, "label", K, "vec_id").select("vec_id", "label", "score")
 
 
-@query()
+def _mmr_sql(k: int, weight: float = 0.7, factor: int = 5) -> str:
+    """The greedy choice, unrolled: a step takes the row of the pool that is best by relevance less likeness to those taken."""
+    steps = [f"pool AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, round({_SIM}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT {factor * k})"]
+    for n in range(1, k + 1):
+        like = f"greatest(0, (SELECT max(list_cosine_similarity(p.e, c.e)) FROM s{n - 1} c))" if n > 1 else "0"
+        step = f"SELECT vec_id, label, e, {n} AS rank FROM pool p" + (f" WHERE vec_id NOT IN (SELECT vec_id FROM s{n - 1})" if n > 1 else "") + f" ORDER BY {weight} * score - {1 - weight:g} * {like} DESC, score DESC, vec_id LIMIT 1"
+        steps.append(f"s{n} AS (({step})" + (f" UNION ALL SELECT * FROM s{n - 1}" if n > 1 else "") + ")")
+    return f"WITH {', '.join(steps)} SELECT vec_id, label, rank FROM s{k}"
+
+
+@query(_mmr_sql(K))
 def vec_mmr(spark, sf):
     rows = table(spark, sf, "embeddings").withColumn("skeleton", F.col("label").cast("string"))
     return retrieval.retrieve(rows, _vector(spark, sf), K, diverse=True, key="vec_id").select("vec_id", "label", "rank")

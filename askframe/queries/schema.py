@@ -202,7 +202,14 @@ def fk_shortest_paths(spark, sf):
     return graph.shortest_paths(g, pairs).select("src", "dst", "path", "hops")
 
 
-@query()
+_STRONG = f"SELECT DISTINCT question_id, table_idx FROM (SELECT question_id, table_idx FROM ({_names_sql('table')}) UNION ALL SELECT question_id, table_idx FROM ({_names_sql('column')}) WHERE match_type = 'exact')"
+_WALKS = f"SELECT s AS src, [s] AS path, s AS here, 0 AS hops FROM (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS s) UNION ALL SELECT src, list_append(path, b), b, hops + 1 FROM w JOIN {_EDGES} e ON e.a = w.here WHERE hops < 6 AND NOT list_contains(path, b)"
+
+
+@query(f"WITH RECURSIVE w AS ({_WALKS}), least AS (SELECT src, here AS dst, path FROM (SELECT *, min(hops) OVER (PARTITION BY src, here) AS fewest FROM w) WHERE hops = fewest), seeds AS ({_STRONG}), counts AS (SELECT q.question_id, count(table_idx) AS n FROM {fixtures.QUESTIONS_SQL} q LEFT JOIN seeds s ON s.question_id = q.question_id GROUP BY q.question_id) "
+       f"SELECT question_id, 'star' AS db_id, table_idx, 'all' AS how FROM counts, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS table_idx) WHERE n = 0 "
+       f"UNION SELECT s.question_id, 'star', unnest(list_append((SELECT list(b) FROM {_EDGES} e WHERE e.a = s.table_idx), s.table_idx)), 'near' FROM seeds s JOIN counts c ON c.question_id = s.question_id AND n = 1 "
+       f"UNION SELECT a.question_id, 'star', unnest(l.path), 'path' FROM seeds a JOIN seeds b ON a.question_id = b.question_id AND a.table_idx < b.table_idx JOIN least l ON l.src = a.table_idx AND l.dst = b.table_idx")
 def graph_enhance(spark, sf):
     q, c = fixtures.questions(spark), star(spark, sf)
     return graph.enhance(q, linking.link(q, c, semantic=False), c)

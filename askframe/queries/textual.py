@@ -65,7 +65,13 @@ def quoted_spans(spark, sf):
     return fixtures.questions(spark).select("question_id", text.quoted_spans("question").alias("spans"))
 
 
-@query()
+_CASED = _QT.replace("lower(question)", "question").replace("], t))", "], lower(t)))")
+_RUNS = f"SELECT question_id, 5 - n AS rank, i AS place, trim(replace(array_to_string(list_slice(w, i + 1, i + n), ' '), '_', ' ')) AS c FROM (SELECT *, unnest(range(0, len(w)::INTEGER - n + 1))::INTEGER AS i FROM (SELECT question_id, {_CASED} AS w, unnest(range(1, 5))::INTEGER AS n FROM {fixtures.QUESTIONS_SQL}))"
+_QUOTED = f"SELECT question_id, 0 AS rank, generate_subscripts(s, 1) AS place, trim(unnest(s)) AS c FROM (SELECT question_id, regexp_extract_all(question, '[''\"]([^''\"]+)[''\"]', 1) AS s FROM {fixtures.QUESTIONS_SQL})"
+_FIRST = f"SELECT *, row_number() OVER (PARTITION BY question_id, lower(c) ORDER BY rank, place) AS copy FROM ({_QUOTED} UNION ALL {_RUNS}) WHERE length(c) >= 2"
+
+
+@query(f"SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY rank, place) - 1)::INTEGER AS pos, c AS candidate FROM ({_FIRST}) WHERE copy = 1")
 def value_candidates(spark, sf):
     return fixtures.questions(spark).select("question_id", F.posexplode(text.value_candidates("question")).alias("pos", "candidate"))
 
@@ -112,12 +118,15 @@ def sql_clauses(spark, sf):
     return fixtures.statements(spark).select("sql_id", *[sqltext.clause("sql", k).alias(v) for k, v in _NAMES.items()])
 
 
-@query()
+@query(f"SELECT sql_id, unnest(list_filter({list(sqltext.KEYWORDS)!r}, lambda k: regexp_matches(sql, '(?i)\\b' || k || '\\b'))) AS keyword FROM {fixtures.STATEMENTS_SQL}")
 def sql_keywords(spark, sf):
     return fixtures.statements(spark).select("sql_id", F.explode(sqltext.keywords("sql")).alias("keyword"))
 
 
-@query()
+_PAIR = "([\\p{L}_][\\p{L}\\p{N}_.]*)\\s*(?:=|!=|<>|(?i:\\bLIKE\\b))\\s*(?:''([^'']*)''|\"([^\"]*)\")"
+
+
+@query(f"SELECT sql_id, split_part(c, '.', -1) AS \"column\", CASE WHEN a <> '' THEN a ELSE b END AS literal FROM (SELECT sql_id, unnest(regexp_extract_all(sql, '{_PAIR}', 1)) AS c, unnest(regexp_extract_all(sql, '{_PAIR}', 2)) AS a, unnest(regexp_extract_all(sql, '{_PAIR}', 3)) AS b FROM {fixtures.STATEMENTS_SQL})")
 def sql_literals(spark, sf):
     return fixtures.statements(spark).select("sql_id", F.inline(sqltext.literal_pairs("sql")))
 
