@@ -100,7 +100,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     # Ranks within a length, in chunks: a length that a third of all rows share is counted by many tasks.
     chunks = max(64, 4 * partitions(spark))
-    cut = cut.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
+    cut = cut.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)).cast("int"))
     own = cut.groupBy("length", "_chunk").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     own = own.select("length", "_chunk", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))

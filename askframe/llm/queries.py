@@ -53,4 +53,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_license_scan, op4_bpe, op5_suffix_dedup, op6_language_id, op7_quality_rules, op8_best_fit_packing, op9_simhash_dedup, op10_token_files)}
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": exactdedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_exact_dedup": exactdedup.ORACLE, "op5_suffix_dedup": suffixdedup.ORACLE}

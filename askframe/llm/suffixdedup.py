@@ -559,3 +559,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     length = F.char_length("kept_text").cast("long")
     picked = [F.col("kept_text").alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
     return out.select(*picked)
+
+
+#: The same by all windows at once, each by its MD5: for small tables.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS size FROM d),
+w AS (SELECT doc_id, pos, md5_number(substr(h, 2 * pos + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(0, size - 99)) AS pos FROM n WHERE size >= 100)),
+r AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM w) WHERE k > 1),
+s AS (SELECT doc_id, pos, pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100 OR lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) IS NULL AS new FROM r),
+g AS (SELECT doc_id, pos, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM s),
+i AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 100 AS b FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, lag(b, 1, 0) OVER o AS a, a AS b FROM i WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
+p AS (SELECT * FROM k UNION ALL SELECT n.doc_id, coalesce(max(i.b), 0), n.size FROM n LEFT JOIN i ON i.doc_id = n.doc_id GROUP BY n.doc_id, n.size),
+t AS (SELECT n.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM n JOIN p ON p.doc_id = n.doc_id GROUP BY n.doc_id),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM i GROUP BY doc_id)
+SELECT n.doc_id, n.size AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM n JOIN t ON t.doc_id = n.doc_id LEFT JOIN c ON c.doc_id = n.doc_id
+"""

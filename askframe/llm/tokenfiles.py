@@ -3,7 +3,8 @@
 Files are written in ascending doc_id order (one range of ids for each file), so a reader prunes files, stripes and row
 groups by their statistics and Bloom filters and reads stripes in parallel.
 
-Defined results: a null or empty text is the end id alone; a null doc_id sorts first; repeated rows are written each;
+Defined results: a null or empty text is the end id alone; a null doc_id sorts first; repeated rows are written each,
+rows of one doc_id in the order of a hash of their texts (so that very many of one, or without one, are split among files);
 an empty table gives files without rows and an empty result.
 """
 
@@ -47,7 +48,8 @@ def encoded(docs: DataFrame, path: str, end: int = END, most: int = 1 << 20) ->
 
 def write(docs: DataFrame, to: str, path: str, end: int = END, stride: int = 1000, stripe: str = "16777216") -> None:
     """Encode documents and write them to ``to`` in ascending doc_id order.  Texts are dealt out by range, ids are not moved."""
-    ordered = id_and_text(docs).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = id_and_text(docs).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(stride), "orc.stripe.size": stripe, "compression": "zstd"}
     encoded(ordered, path, end).write.options(**options).orc(to)
 
@@ -66,6 +68,7 @@ def offsets(spark: SparkSession, at: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens and ids_crc32."""
 
     def digest(batches):
+        seen = 0  # rows of a split come in the order of the file
         for batch in batches:
             n, crc = [], []
             ids = batch.column(1)
@@ -74,14 +77,15 @@ def offsets(spark: SparkSession, at: str) -> DataFrame:
             for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                 n.append(b - a)
                 crc.append(zlib.crc32(flat[a:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "ids_crc32", "file"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), batch.column(2), batch.column(3), pa.array(np.arange(seen, seen + len(n)))], ["doc_id", "n_tokens", "ids_crc32", "file", "split", "place"])
+            seen += len(n)
 
-    rows = read(spark, at).select("doc_id", "ids", F.input_file_name().alias("file"))
-    rows = checkpoint(rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, file string"))
+    rows = read(spark, at).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    rows = checkpoint(rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, file string, split long, place long"))
     files = rows.groupBy("file").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"), F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("split", "place").rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return own.join(files, "file").select("doc_id", (F.col("ahead") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -512,6 +512,11 @@ def test_token_files(spark, docs, texts, odd, tmp_path):
     rows = tokenfiles.round_trip(odd, VOCAB).collect()
     assert len(rows) == odd.count() and next(r for r in rows if r["doc_id"] is None)["start"] == 0
     assert tokenfiles.round_trip(odd.limit(0), VOCAB).count() == 0
+    many = spark.createDataFrame([(None if k % 3 else 7, f"text number {k} " * (k % 5)) for k in range(300)], "doc_id long, text string")
+    at = 0
+    for r in sorted(tokenfiles.round_trip(many, VOCAB).collect(), key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
     tokenfiles.write(docs, str(tmp_path / "ids"), VOCAB)
     some = tokenfiles.find(spark, str(tmp_path / "ids"), [3, 5])
     assert {r["doc_id"]: r["ids"] for r in some.collect()} == {k: [*reference_ids(texts[k]), 1] for k in (3, 5)}
