@@ -79,7 +79,14 @@ def budget_prefix(spark, sf):
     return topk.budget_prefix(docs, [F.col("doc_id")], F.col("n_chars"), 100_000, F.floor(F.col("doc_id") / 100_000))
 
 
-@query("SELECT label, sha256('m1' || chr(31) || string_agg(CAST(vec_id AS VARCHAR), chr(31) ORDER BY vec_id)) AS hash FROM embeddings GROUP BY label")
+_BLOCKS = "SELECT label, vec_id // 1000 AS block, sha256('m1' || chr(31) || string_agg(CAST(vec_id AS VARCHAR), chr(31) ORDER BY vec_id)) AS hash FROM embeddings GROUP BY label, block"
+
+
+@query(f"SELECT label, sha256('m1' || chr(31) || string_agg(hash, chr(31) ORDER BY block)) AS hash FROM ({_BLOCKS}) GROUP BY label")
 def embedding_hash(spark, sf):
-    ids = table(spark, sf, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return ids.select("label", content_hash(F.transform("ids", lambda x: x.cast("string")), "m1").alias("hash"))
+    """A hash of each label's members, by hashes of blocks of 1,000 ids, so that no task gathers all members."""
+    rows = table(spark, sf, "embeddings").select("label", "vec_id", F.floor(F.col("vec_id") / 1000).alias("block"))
+    blocks = rows.groupBy("label", "block").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    blocks = blocks.select("label", "block", content_hash(F.transform("ids", lambda x: x.cast("string")), "m1").alias("hash"))
+    whole = blocks.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "hash"))), lambda x: x["hash"]).alias("hashes"))
+    return whole.select("label", content_hash("hashes", "m1").alias("hash"))
