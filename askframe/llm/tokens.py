@@ -3,6 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenizer cuts it, and each distinct piece goes through the library's model
 once, then comes from a bounded cache.  Texts with characters beyond U+0239 or with a special token's string take
 the library's whole pipeline instead, so ids never differ from ``Tokenizer.encode(text, add_special_tokens=False).ids``.
+
+Defined results: an empty text has no ids; callers turn null texts into empty ones.
 """
 
 from __future__ import annotations
