@@ -290,6 +290,16 @@ WORDINGS = (
 )
 
 
+#: Words of keywords that many texts have.
+_COMMON = frozenset("a an the and or of to in by for under with this that you is are not any all copy software public free general open version use terms notice please work source code program file data new one".split())
+
+
+def anchor(keyword: str) -> str:
+    """The word of a keyword that fewest texts have, by rule of thumb: no common one, and the longest."""
+    words = keyword.split()
+    return max(words, key=lambda w: (w not in _COMMON, len(w), -words.index(w)))
+
+
 @cache
 def rules() -> tuple[tuple[str, str, int, str], ...]:
     """(label, keyword, priority, regular expression), the highest priority first."""

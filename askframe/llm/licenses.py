@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .licenserules import rules
+from .licenserules import anchor, rules
 
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -25,10 +25,12 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rows = docs.select(docs["doc_id"], F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     # A class of what words hold is faster than one of what they don't.
-    words = F.regexp_extract_all(F.translate("text", upper, lower), F.lit("[0-9a-z\\x{80}-\\x{10FFFF}]+"), F.lit(0))
+    # Of all letters beyond ASCII only the Kelvin sign has an ASCII letter for its lower case; with it out of the way, words
+    # of ASCII letters come out just as by lower-casing A-Z.
+    low = F.lower(F.replace("text", F.lit("\u212a"), F.lit("\u0138")))
+    words = F.regexp_extract_all(low, F.lit("[0-9a-z\\x{80}-\\x{10FFFF}]+"), F.lit(0))
     rows = rows.withColumn("words", words).drop("text").withColumn("n_words", F.size("words").cast("long"))
 
     # Base phrases: starts of each, by the words that follow.
@@ -51,13 +53,16 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.array_compact(F.array(*[F.when(F.size(f"at_{x}") > 0, F.lit(x)) for x in BASE.values()]))
     rows = rows.withColumn("base", base).drop(*at)
 
-    # Rules: those whose keyword is there, then their intervals by marks put around each match.
+    # Rules: those whose keyword is there (first by its rarest word, looked up for all rules in one pass over the words, then
+    # as a whole), then their intervals by marks put around each match.
     by_keyword: dict[str, list] = {}
     for label, keyword, priority, pattern in rules():
         by_keyword.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(pattern).alias("pattern")))
-    table = F.array(*[F.struct(F.lit(f" {keyword} ").alias("keyword"), F.array(*own).alias("rules")) for keyword, own in by_keyword.items()])
-    present = F.flatten(F.transform(F.filter(table, lambda k: F.col("norm").contains(k["keyword"])), lambda k: k["rules"]))
-    rows = rows.withColumn("rules", present)
+    anchors = {keyword: anchor(keyword) for keyword in by_keyword}
+    rows = rows.withColumn("met", F.array_intersect("words", F.array(*[F.lit(a) for a in sorted(set(anchors.values()))])))
+    table = F.array(*[F.struct(F.lit(anchors[keyword]).alias("anchor"), F.lit(f" {keyword} ").alias("keyword"), F.array(*own).alias("rules")) for keyword, own in by_keyword.items()])
+    present = F.flatten(F.transform(F.filter(table, lambda k: F.array_contains("met", k["anchor"]) & F.col("norm").contains(k["keyword"])), lambda k: k["rules"]))
+    rows = rows.withColumn("rules", F.when(F.size("met") > 0, present)).drop("met")
 
     def intervals(r: Column) -> Column:
         marked = F.split(F.regexp_replace("norm", r["pattern"], F.lit("\x01$0\x02")), " ")

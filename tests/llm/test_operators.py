@@ -206,7 +206,7 @@ def test_every_rule_is_found_by_its_keyword(spark):
 def test_licence_texts(spark):
     made = {"Distributed under the terms of the GPL": "gpl", "Released under the WTFPL": "wtfpl", "This work is in the public domain, see CC0": "cc0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
             "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd", "Licensed under the GNU Lesser General Public License, version 2.1": "gpl,lgpl-2.1", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0+",
-            "a licence to drive with a mit of 3": "", "nothing": ""}
+            "a licence to drive with a mit of 3": "", "nothing": "", "apache \u212aicense, m\u0130t license, \u0130\u00c9\u03a3 GPL": ""}
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     assert {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()} == dict(enumerate(made.values()))
 
