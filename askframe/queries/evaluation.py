@@ -19,6 +19,7 @@ from ..sources.tables import table
 from ..sources.values import column_values
 from . import fixtures
 from .schema import star, values
+from .textual import _VI, english_sql, skeleton_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,7 +108,10 @@ def execute_status(spark, sf):
     return spark.createDataFrame(rows, "sql_id int, status string, n int, truncated boolean")
 
 
-@query()
+_MENDED = ((0, "select c_name from customer where c_custkey = 1", 1), (1, "select count(*) as n from customer where c_mktsegment = 'BUILDING' having count(*) > 0", 0))
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS id, count(*) > 0 AS success, '{s.replace(chr(39), chr(39) * 2)}' AS executed, {tries} AS attempts, count(*) AS n FROM ({s}) AS t" for k, s, tries in _MENDED))
 def repair_loop(spark, sf):
     """A wrong column that the generator corrects, and a wrong value that the stored ones correct."""
     generator, c = ReplayGenerator({"names": "select c_name from customer where c_custkey = 1"}), star(spark, sf)
@@ -181,12 +185,12 @@ def metrics_by_complexity(spark, sf):
     return evaluate.by_complexity(_scores(spark, sf))
 
 
-@query()
+@query(f"SELECT index, {skeleton_sql('predicted')} = {skeleton_sql('gold')} AS skeleton_match FROM {fixtures.values_sql([(p[0], p[3], p[4]) for p in fixtures.PREDICTIONS], 'index, predicted, gold')}")
 def metrics_skeleton(spark, sf):
     return evaluate.text_scores(fixtures.predictions(spark)).select("index", "skeleton_match")
 
 
-@query()
+@query(f"SELECT sql_id AS index, {english_sql('sql')} AS predicted_en, {english_sql('sql')} AS gold_en, true AS exact_match FROM {_VI}")
 def rescore_translated(spark, sf):
     samples = spark.createDataFrame([(i, d, "", s, s) for i, d, s in fixtures.VI_STATEMENTS], "index int, db_id string, question string, predicted string, gold string")
     names = spark.createDataFrame(fixtures.MAP, "db_id string, kind string, source string, target string")

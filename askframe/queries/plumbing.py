@@ -16,7 +16,7 @@ from ..session import settle, shared_folder
 from ..sources import files, tables
 from ..sources.values import column_values as read_column
 from . import fixtures
-from .schema import _CATALOG, _FKS, _KEPT, _LINKED, _VALUES, star, values
+from .schema import _CATALOG, _EXACT, _FKS, _KEPT, _LINKED, _PARTIAL, _VALUES, star, values
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -359,3 +359,64 @@ def repair_history(spark, sf):
     g = generate.ReplayGenerator({"all regions": "select r_name from region"})
     o = repair.Repairer(Executor(spark, folders={fixtures.DB: sf}, timeout=60.0), g).repair("select r_name from (region", fixtures.DB, "all regions", "")
     return spark.createDataFrame([(o.executed, o.attempts[0].status.value, len(o.attempts) + 1)], "executed string, first_status string, tries int")
+
+
+# --- what has a plainer stand-in than its default: embeddings of letters, values by whole words ----------------------
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _by_letters(text):
+    """Counts of the letters a to z: an embedder that SQL has too."""
+    return F.array(*[(F.length(F.lower(text)) - F.length(F.replace(F.lower(text), F.lit(x), F.lit("")))).cast("float") for x in _LETTERS])
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"(length(lower({text})) - length(replace(lower({text}), '{x}', '')))::DOUBLE" for x in _LETTERS) + "]"
+
+
+_NAMES = f"SELECT DISTINCT 'table' AS kind, table_idx, NULL::INTEGER AS col_idx, table_name AS name FROM {_CATALOG} UNION ALL SELECT 'column', table_idx, col_idx, col_name FROM {_CATALOG}"
+
+
+@query(f"SELECT question_id, kind, table_idx, col_idx, round(score, 6) AS score FROM (SELECT question_id, kind, table_idx, col_idx, list_cosine_similarity(q.v, n.v) AS score FROM (SELECT question_id, {_letters_sql('question')} AS v FROM {fixtures.QUESTIONS_SQL}) q, (SELECT *, {_letters_sql('name')} AS v FROM ({_NAMES})) n) WHERE score >= 0.8")
+def link_by_letters(spark, sf):
+    """Links by the likeness of embeddings, with the embedder given."""
+    links = linking.semantic_links(fixtures.questions(spark), star(spark, sf), 0.8, _by_letters)
+    return links.select("question_id", "kind", "table_idx", "col_idx", F.round("score", 6).alias("score"))
+
+
+_SOLVED = fixtures.values_sql([(p[0], p[2], p[4]) for p in fixtures.PREDICTIONS], "id, question, query")
+
+
+@query(f"SELECT id, question, query, score FROM (SELECT id, question, query, round(list_cosine_similarity({_letters_sql('question')}, {_letters_sql(chr(39) + 'orders by segments' + chr(39))}), 6) AS score FROM {_SOLVED}) ORDER BY score DESC, id LIMIT 3")
+def examples_by_letters(spark, sf):
+    """The nearest solved examples, masked and embedded by a given embedder; their skeletons all differ here."""
+    solved = fixtures.predictions(spark).select(F.col("index").alias("id"), "db_id", "question", F.col("gold").alias("query"))
+    near = retrieval.retrieve(retrieval.build_examples(solved, _by_letters), retrieval.embed_query(spark, "orders by segments", _by_letters), 3)
+    return near.select("id", "question", "query", F.round("score", 6).alias("score"))
+
+
+_HITS = f"SELECT *, row_number() OVER (PARTITION BY question_id, table_name, col_name ORDER BY score DESC, value) AS rank FROM (SELECT question_id, db_id, table_name, col_name, value, max(score) AS score FROM ({_EXACT} UNION ALL SELECT *, 0.8::DOUBLE FROM ({_PARTIAL})) GROUP BY ALL)"
+
+
+def _by_words(spark, sf):
+    """Values matched by whole words alone: no ratio reaches the threshold."""
+    return linking.match_values(fixtures.questions(spark), values(spark, sf), threshold=1.01)
+
+
+@query(f"SELECT question_id, table_name, col_name, value, score, rank::INTEGER AS rank FROM ({_HITS}) WHERE rank <= 3")
+def cell_match_words(spark, sf):
+    return _by_words(spark, sf).select("question_id", "table_name", "col_name", "value", "score", "rank")
+
+
+@query(f"SELECT question_id, table_idx, col_idx, score, value AS span FROM ({_HITS}) h JOIN {_CATALOG} c ON h.table_name = c.table_name AND h.col_name = c.col_name WHERE rank = 1")
+def link_cells(spark, sf):
+    """The best value of each column as a link."""
+    return linking.cell_links(_by_words(spark, sf), star(spark, sf)).select("question_id", "table_idx", "col_idx", "score", "span")
+
+
+@query(f"SELECT question_id, table_name || '.' || col_name AS \"column\", value FROM ({_HITS}) WHERE rank = 1")
+def value_hints_words(spark, sf):
+    """The best values of linked columns, here of those that values link."""
+    c, hits = star(spark, sf), settle(_by_words(spark, sf))
+    return linking.value_hints(hits, linking.cell_links(hits, c), c).select("question_id", F.explode("hints").alias("column", "value"))

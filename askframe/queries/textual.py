@@ -81,7 +81,33 @@ def unicode_nfc(spark, sf):
     return fixtures.questions(spark).select("question_id", text.nfc("question").alias("nfc"))
 
 
-@query()
+_STRING = "''(?:[^'']|'''')*''|\"[^\"]*\""
+
+
+def _upper(part: str) -> str:
+    for k in sqltext.KEYWORDS:
+        part = f"regexp_replace({part}, '(?i)\\b{k}\\b', '{k}', 'g')"
+    return part
+
+
+def normal_sql(column: str) -> str:
+    """``sqltext.normalize`` in SQL: what is outside of strings changed, then put together again."""
+    bare = f"regexp_replace(trim({column}), '[;\\s]+$', '')"
+    parts = f"list_transform(regexp_split_to_array({bare}, '{_STRING}'), lambda p: regexp_replace({_upper('p')}, '\\s+', ' ', 'g'))"
+    pairs = f"list_zip({parts}, regexp_extract_all({bare}, '{_STRING}'))"
+    return f"trim(array_to_string(list_transform({pairs}, lambda x: coalesce(x[1], '') || coalesce(x[2], '')), ''))"
+
+
+_TOKEN = _STRING + "|[\\p{L}_][\\p{L}\\p{N}_]*(?:\\.(?:\\*|[\\p{L}\\p{N}_]+))*|\\d+(?:\\.\\d+)?|(?s:.)"
+
+
+def skeleton_sql(column: str) -> str:
+    """``sqltext.skeleton`` in SQL, token by token."""
+    one = f"CASE WHEN NOT list_contains({list(sqltext.KEYWORDS)!r}, t) AND regexp_matches(t, '^[\\p{{L}}\\p{{N}}_''\"]') THEN '_' ELSE t END"
+    return f"array_to_string(list_transform(regexp_extract_all({normal_sql(column)}, '{_TOKEN}'), lambda t: {one}), '')"
+
+
+@query(f"SELECT sql_id, {normal_sql('sql')} AS normalized FROM {fixtures.STATEMENTS_SQL}")
 def sql_normalize(spark, sf):
     return fixtures.statements(spark).select("sql_id", sqltext.normalize("sql").alias("normalized"))
 
@@ -91,7 +117,7 @@ def sql_skeleton_v1(spark, sf):
     return fixtures.statements(spark).select("sql_id", sqltext.literal_skeleton("sql").alias("skeleton"))
 
 
-@query()
+@query(f"SELECT sql_id, {skeleton_sql('sql')} AS skeleton FROM {fixtures.STATEMENTS_SQL}")
 def sql_skeleton_v2(spark, sf):
     return fixtures.statements(spark).select("sql_id", sqltext.skeleton("sql").alias("skeleton"))
 
@@ -136,7 +162,19 @@ def sql_postprocess(spark, sf):
     return spark.createDataFrame(fixtures.GENERATED, "id int, raw string").select("id", sqltext.post_process("raw").alias("sql"))
 
 
-@query()
+def english_sql(column: str) -> str:
+    """A statement with the inline map's names in English, up to its first string."""
+    head = f"split_part({column}, '\"', 1)"
+    tail = f"{column}[length({head}) + 1:]"
+    for source, target in sorted(((m[2], m[3]) for m in fixtures.MAP if m[2] != m[3]), key=lambda m: -len(m[0])):
+        head = f"replace({head}, '{source}', '{target}')"
+    return f"CASE WHEN db_id = 'arch' THEN {head} || {tail} ELSE {column} END"
+
+
+_VI = fixtures.values_sql(fixtures.VI_STATEMENTS, "sql_id, db_id, sql")
+
+
+@query(f"SELECT sql_id, {english_sql('sql')} AS translated FROM {_VI}")
 def sql_translate(spark, sf):
     names = spark.createDataFrame(fixtures.MAP, "db_id string, kind string, source string, target string")
     return translate_statements(spark.createDataFrame(fixtures.VI_STATEMENTS, "sql_id int, db_id string, sql string"), names).select("sql_id", "translated")
