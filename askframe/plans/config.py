@@ -35,6 +35,13 @@ class Config:
     repair_max_values_per_column: int = 20
     repair_max_total_chars: int = 3000
     test_limit: int = 0
+    llm_url: str = ""
+    llm_model: str = ""
+    llm_key: str = ""
+    llm_max_tokens: int = 512
+    llm_temperature: float = 0.0
+    llm_timeout_seconds: float = 60.0
+    llm_attempts: int = 3
 
 
 _KINDS = get_type_hints(Config)

@@ -9,11 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..engine import Engine
+from ..operators.retrieval import build_examples
+from ..session import settle
 from ..sources import files
 from ..sources.catalog import read_json
 from ..sources.tables import _exists
 from . import config as configs
 from . import evaluate
+from .generate import ChatGenerator, SqlGenerator
 
 PREDICTED = "index long, db_id string, question string, predicted string, gold string"
 
@@ -68,6 +71,21 @@ def evaluate_translated(spark: SparkSession, output: str, names: DataFrame) -> D
     return scored
 
 
+def generator(c: configs.Config) -> SqlGenerator | None:
+    """The chat server that the settings name; without one the engine's templates answer."""
+    if not c.llm_url:
+        return None
+    return ChatGenerator(c.llm_url, c.llm_model, c.llm_key, most_tokens=c.llm_max_tokens, temperature=c.llm_temperature, timeout=c.llm_timeout_seconds, attempts=c.llm_attempts)
+
+
+def examples(spark: SparkSession, c: configs.Config) -> DataFrame | None:
+    """The solved questions of the training set, ready for retrieval."""
+    if not c.train_path:
+        return None
+    solved = files.read_questions(spark, c.train_path).withColumnRenamed("index", "id")
+    return settle(build_examples(solved))
+
+
 def main(arguments: list[str] | None = None) -> None:
     """Command line: --config FILE, --test-limit N, --legacy."""
     from ..session import build_session
@@ -80,7 +98,7 @@ def main(arguments: list[str] | None = None) -> None:
     c = configs.load(a.config, test_limit=a.test_limit)
     spark = build_session()
     catalog = read_json(spark, c.tables_path)
-    engine = Engine(spark, catalog, {d: f"{c.database_dir}/{d}" for d in catalog.databases()}, config=c)
+    engine = Engine(spark, catalog, {d: f"{c.database_dir}/{d}" for d in catalog.databases()}, generator(c), examples(spark, c), c)
     print(evaluate_questions(engine, files.read_questions(spark, c.dev_path, c.test_limit or None), c.output_dir, legacy=a.legacy).text())
 
 

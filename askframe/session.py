@@ -23,8 +23,17 @@ def build_session(app: str = "askframe", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+#: Rows and bytes of an Arrow batch, where the session leaves Spark's own values: whole texts may be long, and an executor holds
+#: a batch of each running task several times over.
+_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(8 << 20)))
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once for each application, where it is not installed there."""
+    """Make this package importable on the executors, once for each application, where it is not installed there, and bound the
+    batches that go to Python workers."""
+    for key, usual, ours in _BATCHES:
+        if spark.conf.get(key, None) in (None, usual):
+            spark.conf.set(key, ours)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

@@ -21,6 +21,16 @@ def test_run(spark, sf, tmp_path):
     assert again[0]["gold_en"] == "SELECT r_name FROM vùng" and again[0]["exact_match"]
 
 
+def test_settings_make_generator_and_examples(spark, tmp_path):
+    path = tmp_path / "train.json"
+    path.write_text('[{"db_id": "star", "question": "all regions", "query": "SELECT r_name FROM region"}]')
+    c = config.load(llm_url="http://localhost:1/v1", llm_model="m", llm_attempts="2", train_path=str(path))
+    g = run.generator(c)
+    assert (g.model, g.attempts, g.timeout) == ("m", 2, 60.0) and run.generator(config.Config()) is None
+    rows = run.examples(spark, c).collect()
+    assert rows[0]["skeleton"] == "SELECT _ FROM _" and run.examples(spark, config.Config()) is None
+
+
 def test_kept_batches_are_not_asked_again(spark, sf, tmp_path):
     class Counts:
         n = 0
