@@ -463,17 +463,16 @@ def _found(known: DataFrame, window: int, gram: int, most: int) -> DataFrame:
             found = list(_deal(owners, doc, start, run, anchor, content))
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], ["owner", "blob"])
 
-        for batch in batches:
-            held, count = [], 0
-            for part in slices(batch, SLICE):
-                doc, start, run, anchor, content, _ = segments(*text_bytes(part.column(1)), window, gram)
-                held.append((part.column(0).to_numpy()[doc], start, run, anchor, content))
-                count += len(doc)
-                if count > FLUSH:
-                    yield flush(held)
-                    held, count = [], 0
-            if count:
+        held, count = [], 0
+        for part in (part for batch in batches for part in slices(batch, SLICE)):
+            doc, start, run, anchor, content, _ = segments(*text_bytes(part.column(1)), window, gram)
+            held.append((part.column(0).to_numpy()[doc], start, run, anchor, content))
+            count += len(doc)
+            if count > FLUSH:
                 yield flush(held)
+                held, count = [], 0
+        if count:
+            yield flush(held)
         tidy()
 
     sent = known.mapInArrow(anchors, "owner int, blob binary")

@@ -45,6 +45,38 @@ def test_label_model_brute():
     assert np.allclose(post, want[0]) and np.allclose(rates, want[1]) and np.allclose(correlation, want[2])
 
 
+def test_scores_are_sums_of_weights(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.weights and model.accuracies.shape == (2, len(model.voters))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        names = toxicity.features(set(toxicity.WORD.findall((texts[r["doc_id"]] or "").lower())))
+        z = model.intercept + sum(model.weights.get(n, 0.0) for n in names)
+        assert abs(r["score"] - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 1e-8 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_fences_against_exact_quantiles(spark):
+    rng, rows = random.Random(7), []
+    for i in range(150):  # few enough for a sketch to hold them all
+        marks = rng.randint(0, 40)
+        rows.append((i, " ".join(f"w{i}x{k}" + ("#" if k < marks else "") for k in range(60)), "en", "a" if i % 3 else "b"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = quality._ratios(quality.measures(docs)).collect()
+
+    def fence(values):
+        v = np.sort(values)
+        q = [v[min(len(v) - 1, max(0, math.ceil(p * len(v)) - 1))] for p in (0.25, 0.75, 0.98)]
+        return max(0.10, q[1] + quality.REACH * (q[1] - q[0]), q[2])
+
+    own = {s: [r["symbol_ratio"] for r in measured if r["source"] == s] for s in "ab"}
+    wide = fence(own["a"] + own["b"])
+    for r in quality.fences(quality._ratios(quality.measures(docs))).collect():
+        n = len(own[r["source"]])
+        want = (n * fence(own[r["source"]]) + quality.LEAST_ROWS * wide) / (n + quality.LEAST_ROWS)
+        assert abs(r["fence_symbol_ratio"] - want) < 0.05 * want
+
+
 def test_trust_is_estimated():
     rng = np.random.default_rng(4)
     for trust in (0.85, 0.92, 0.98):
