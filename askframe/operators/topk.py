@@ -17,10 +17,12 @@ def budget_prefix(df: DataFrame, order: list[Column], size: Column, budget: int,
     """Rows in order while their sizes add up to at most ``budget``.
 
     With ``bucket``, a non-decreasing function of the order, sums are taken within buckets and then over their totals,
-    so that no task sees all rows; rows of one bucket only meet each other.
+    so that no task sees all rows; rows of one bucket only meet each other.  Without it the rows are sorted, and the sorted
+    partitions are the buckets.
     """
     if bucket is None:
-        return df.withColumn("used", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
+        df, names = settle(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())), df.columns
+        return budget_prefix(df, [F.col("_place")], size, budget, F.shiftright("_place", 33)).select(*names, "used")
     rows = df.withColumn("_bucket", bucket)
     totals = rows.groupBy("_bucket").agg(F.sum(size).alias("_n"))
     totals = totals.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") <= budget)

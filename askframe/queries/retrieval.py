@@ -76,7 +76,7 @@ def few_shot_examples(spark, sf):
 @query("SELECT doc_id, n_chars, CAST(sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents QUALIFY used <= 100000")
 def budget_prefix(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return topk.budget_prefix(docs, [F.col("doc_id")], F.col("n_chars"), 100_000, F.floor(F.col("doc_id") / 100_000))
+    return topk.budget_prefix(docs, [F.col("doc_id")], F.col("n_chars"), 100_000)
 
 
 _BLOCKS = "SELECT label, vec_id // 1000 AS block, sha256('m1' || chr(31) || string_agg(CAST(vec_id AS VARCHAR), chr(31) ORDER BY vec_id)) AS hash FROM embeddings GROUP BY label, block"

@@ -31,6 +31,19 @@ def test_places_of_many_rows(spark):
     assert topk.positions(df.limit(0)).count() == 0
 
 
+def test_prefix_under_a_budget(spark):
+    df = spark.range(0, 5000, 1, 8).select((5000 - F.col("id")).alias("k"), (F.col("id") % 7 + 1).alias("size"))
+    rows = sorted((r["k"], r["size"]) for r in df.collect())
+    want, total = [], 0
+    for k, size in rows:
+        total += size
+        if total <= 900:
+            want.append((k, total))
+    for bucket in (None, F.floor(F.col("k") / 50)):
+        got = topk.budget_prefix(df, [F.col("k")], F.col("size"), 900, bucket)
+        assert sorted((r["k"], r["used"]) for r in got.collect()) == want and got.columns == ["k", "size", "used"]
+
+
 def test_rows_in_order(spark):
     a = spark.range(0, 5000, 1, 8).select("id", (F.col("id") * 3).alias("x"))
     assert evaluate.same_rows(a.orderBy("x"), a.repartition(5).orderBy("id"), ordered=True)
