@@ -51,23 +51,20 @@ def reachable(graph: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def shortest_paths(graph: DataFrame, pairs: DataFrame, longest: int | None = None) -> DataFrame:
     """All shortest paths between pairs (db_id, src, dst): (db_id, src, dst, path, hops).  Pairs that are not connected, or
     farther apart than ``longest`` where one is given, have none.  A walk goes on only to tables that no shorter one reached."""
-    pairs = pairs.select("db_id", "src", "dst").distinct()
+    pairs = settle(pairs.select("db_id", "src", "dst").distinct())
     graph = settle(graph)
-    if longest is None:
-        longest = graph.groupBy("db_id").agg(F.count_distinct("a").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    seen = pairs.select("db_id", "src", F.col("src").alias("here")).distinct()
     walks = pairs.where("src <> dst").select("db_id", "src", "dst", F.array("src").alias("path"))
     done = [pairs.where("src = dst").select("db_id", "src", "dst", F.array("src").alias("path"), F.lit(0).alias("hops"))]
-    for h in range(1, longest + 1):
-        ahead = walks.withColumn("a", F.element_at("path", -1)).join(graph, ["db_id", "a"]).where(~F.array_contains("path", F.col("b")))
-        ahead = ahead.select("db_id", "src", "dst", F.concat("path", F.array("b")).alias("path"))
-        ahead = settle(ahead.withColumn("here", F.element_at("path", -1)).join(seen, ["db_id", "src", "here"], "left_anti").select("db_id", "src", "dst", "path", "here"))
-        seen = settle(seen.unionByName(ahead.select("db_id", "src", "here").distinct()))
-        ahead = ahead.drop("here")
-        there = ahead.where(F.element_at("path", -1) == F.col("dst"))
-        done.append(there.withColumn("hops", F.lit(h)))
-        walks = ahead.join(there.select("db_id", "src", "dst").distinct(), ["db_id", "src", "dst"], "left_anti")
-        if walks.isEmpty():  # every pair is done
+    seen = [pairs.select("db_id", "src", F.col("src").alias("here"))]
+    while longest is None or len(seen) <= longest:
+        ahead = walks.withColumn("a", F.element_at("path", -1)).join(graph, ["db_id", "a"]).withColumnRenamed("b", "here")
+        ahead = ahead.join(reduce(DataFrame.unionByName, seen), ["db_id", "src", "here"], "left_anti")
+        ahead = settle(ahead.select("db_id", "src", "dst", F.concat("path", F.array("here")).alias("path"), "here"))
+        there = ahead.where("here = dst").drop("here")
+        done.append(there.withColumn("hops", F.lit(len(seen))))
+        seen.append(ahead.select("db_id", "src", "here").distinct())
+        walks = ahead.drop("here").join(there.select("db_id", "src", "dst").distinct(), ["db_id", "src", "dst"], "left_anti")
+        if walks.isEmpty():  # every pair is done, or no table is left that no walk has seen
             break
     return reduce(DataFrame.unionByName, done)
 
