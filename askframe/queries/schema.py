@@ -124,7 +124,7 @@ def cell_match_topk(spark, sf):
     return linking.match_values(fixtures.questions(spark), values(spark, sf))
 
 
-from .textual import _GRAMS, _PUNCT, _QT  # noqa: E402
+from .textual import _GRAMS, _QT  # noqa: E402
 
 
 def _names_sql(kind: str) -> str:
