@@ -82,7 +82,7 @@ def database_resolve(spark, sf):
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
-@query("SELECT DISTINCT table_name FROM information_schema.tables WHERE table_name IN (" + ", ".join(f"'{t}'" for t in _TABLES) + ")")
+@query(_rows([(t,) for t in _TABLES], "table_name"))
 def tables_registered(spark, sf):
     own = spark.newSession()
     tables.register(own, sf, list(_TABLES))
