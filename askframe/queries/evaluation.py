@@ -105,7 +105,7 @@ def execute_status(spark, sf):
     """Outcome of each inline statement: status, rows and whether rows were cut."""
     x = _executor(spark, sf)
     rows = [(i, (r := x.execute(s, fixtures.DB)).status.value, len(r.rows), r.truncated) for i, s in [*fixtures.STATEMENTS, *_MORE]]
-    return spark.createDataFrame(rows, "sql_id int, status string, n int, truncated boolean")
+    return spark.createDataFrame(rows, "sql_id int, status string, n long, truncated boolean")
 
 
 _MENDED = ((0, "select c_name from customer where c_custkey = 1", 1), (1, "select count(*) as n from customer where c_mktsegment = 'BUILDING' having count(*) > 0", 0))
@@ -120,7 +120,7 @@ def repair_loop(spark, sf):
     for k, (q, s) in enumerate((("names", "select nope from customer"), ("values", "select count(*) as n from customer where c_mktsegment = 'buildin' having count(*) > 0"))):
         o = r.repair(s, fixtures.DB, q, "")
         out.append((k, o.success, o.executed, len(o.attempts), len(o.result.rows)))
-    return spark.createDataFrame(out, "id int, success boolean, executed string, attempts int, n int")
+    return spark.createDataFrame(out, "id int, success boolean, executed string, attempts int, n long")
 
 
 def _scores(spark, sf):
@@ -197,7 +197,7 @@ def rescore_translated(spark, sf):
     return evaluate.rescore_translated(samples, names).select("index", "predicted_en", "gold_en", "exact_match")
 
 
-@query(f"SELECT index, 'star' AS db_id, {_EM} AS exact_match, ex = 1 AS exec_match, {_LEVEL} AS complexity FROM {_SAMPLES}")
+@query(f"SELECT index::BIGINT AS index, 'star' AS db_id, {_EM} AS exact_match, ex = 1 AS exec_match, {_LEVEL} AS complexity FROM {_SAMPLES}")
 def results_sink_roundtrip(spark, sf):
     """Write the results document, read its predictions back."""
     at = f"{shared_folder(spark).rstrip('/')}/results-{uuid.uuid4().hex}"

@@ -53,12 +53,12 @@ def _questions_file(spark) -> str:
     return at
 
 
-@query(_rows(_ASKED, "index, db_id, question, query"))
+@query("SELECT index::BIGINT AS index, db_id, question, query FROM " + fixtures.values_sql(_ASKED, "index, db_id, question, query"))
 def questions_source(spark, sf):
     return files.read_questions(spark, _questions_file(spark))
 
 
-@query(_rows(_ASKED[:4], "index, db_id, question, query"))
+@query("SELECT index::BIGINT AS index, db_id, question, query FROM " + fixtures.values_sql(_ASKED[:4], "index, db_id, question, query"))
 def questions_first(spark, sf):
     return files.read_questions(spark, _questions_file(spark), 4)
 
