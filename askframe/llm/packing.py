@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_and_text, partitions, slices
+from .common import checkpoint, id_and_text, partitions, slices, tidy
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -42,6 +42,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
                     length.append(len(own))
                     crc.append(zlib.crc32(own.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -98,30 +99,40 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     first = np.searchsorted(rows[:, 0], np.arange(capacity + 2))
     given = spark.sparkContext.broadcast((rows, first))  # bounded by the capacity, not by the corpus
 
-    # Ranks within a length, in chunks: a length that a third of all rows share is counted by many tasks.
+    # Ranks within a length, in chunks: a length that a third of all rows share is counted by many tasks.  A row that says how many
+    # come before a chunk is sorted ahead of its pieces, so that one exchange and one sort rank them.
     chunks = max(64, 4 * partitions(spark))
     cut = cut.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)).cast("int"))
     own = cut.groupBy("length", "_chunk").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     own = own.select("length", "_chunk", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    within = F.row_number().over(Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = cut.withColumn("_rank", within).join(own, ["length", "_chunk"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_ahead"))
+    both = cut.withColumn("_ahead", F.lit(-1).cast("long")).unionByName(own, allowMissingColumns=True)
+    both = both.repartition(partitions(spark), "length", "_chunk").sortWithinPartitions("length", "_chunk", F.col("_ahead") < 0, "doc_id", "piece", "ids_crc32")
     names = [c for c in cut.columns if c != "_chunk"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "_chunk")
 
     def place(batches):
-        rows, first = given.value
+        (rows, first), come = given.value, 0  # how many pieces of its length come before the next row
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            length, ahead = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_ahead"))
+            if not len(length):
+                continue
+            here = np.arange(len(length))
+            head = np.maximum.accumulate(np.where(ahead >= 0, here, -1))
+            rank = np.where(head < 0, come + here, ahead[head] + here - head - 1)
+            come = int(rank[-1]) + 1
+            own = np.flatnonzero(ahead < 0)
+            length, rank, batch = length[own], rank[own], batch.take(pa.array(own))
             at = np.zeros(len(length), np.int64)
             for x in np.unique(length):
                 mine = rows[first[x] : first[x + 1]]
-                own = length == x
-                at[own] = first[x] + np.searchsorted(mine[:, 1], rank[own], side="right") - 1
+                same = length == x
+                at[same] = first[x] + np.searchsorted(mine[:, 1], rank[same], side="right") - 1
             found = rows[at]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(found[:, 3] + rank - found[:, 1]), pa.array(found[:, 5])], [*names, "sequence_id", "offset"])
+        tidy()
 
-    return ranked.select(*names, "_rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return both.select(*names, "_ahead").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

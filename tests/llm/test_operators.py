@@ -407,6 +407,26 @@ def test_packing(docs, texts, odd):
     assert packing.pack_documents(odd.limit(0), VOCAB).count() == 0
 
 
+def test_pieces_are_ranked_by_one_sort(spark):
+    """Every sort of a task holds a page of memory: one exchange and one sort rank the pieces, whatever the Arrow batches are."""
+    cut = spark.range(300).selectExpr("id as doc_id", "0 as piece", "id % 3 * 500 + 40 as length", "id as ids_crc32")
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(rows)
+    spark.conf.set(rows, "7")
+    try:
+        packed = packing.pack(cut)
+        plan = packed._jdf.queryExecution().executedPlan().toString()
+        got = packed.collect()
+    finally:
+        spark.conf.set(rows, usual)
+    assert "SortMergeJoin" not in plan and plan.count("Window") == 1
+    at = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert at.setdefault(r["sequence_id"], 0) == r["offset"]
+        at[r["sequence_id"]] += r["length"]
+    assert len({r["doc_id"] for r in got}) == len(got) == 300 and max(at.values()) <= packing.CAPACITY
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 4), min_size=1, max_size=7), st.integers(1, 120))
 def test_fullest(counts, room):
