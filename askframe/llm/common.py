@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle, shared_folder, ship
+from .tokens import encoder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +70,17 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def tidy() -> None:
-    """Give freed memory of a Python worker back, since workers live on between stages."""
+def forget() -> None:
+    """Drop the encoders that a worker still holds from an earlier stage: some 100 MB each, beside which the memory of this stage
+    would have to fit."""
+    if encoder.cache_info().currsize:
+        tidy()
+
+
+def tidy(encoding: bool = False) -> None:
+    """Give freed memory of a Python worker back, since workers live on between stages; encoders stay while a stage is ``encoding``."""
+    if not encoding:
+        encoder.cache_clear()
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):

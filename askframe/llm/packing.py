@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
                     length.append(len(own))
                     crc.append(zlib.crc32(own.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        tidy()
+        tidy(encoding=True)  # the next task of this stage needs the same encoder
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import checkpoint, id_and_text, partitions, release, slices, text_bytes, tidy
+from .common import checkpoint, forget, id_and_text, partitions, release, slices, text_bytes, tidy
 
 WINDOW = 100
 GRAM = 32
@@ -85,6 +85,12 @@ def _powers(n: int, base: int) -> np.ndarray:
     return got[: n + 1]
 
 
+def _done() -> None:
+    """At the end of a task: what can be computed again goes too."""
+    _tables.clear()
+    tidy()
+
+
 class Rolling:
     """Fingerprints of any stretch of some bytes, by prefix sums of a polynomial modulo 2 ** 64."""
 
@@ -159,7 +165,11 @@ def _deal(owners: int, doc, start, run, anchor, content):
     """(owner, blob) of entries: of equal ones the first goes to the owner of its anchor, the others to any, marked as
     repeats.  The same place given twice (of rows repeated whole) counts once."""
     order = np.lexsort((start, doc, content, anchor))
-    doc, start, run, anchor, content = doc[order], start[order], run[order], anchor[order], content[order]
+    doc = doc[order]  # one by one, so that no two are held twice
+    start = start[order]
+    run = run[order]
+    anchor = anchor[order]
+    content = content[order]
     equal = np.zeros(len(doc), bool)
     equal[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
     twice = np.zeros(len(doc), bool)
@@ -381,8 +391,9 @@ def _ship(owners: int, window: int):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())], ["bucket", "kind", "head", "body"])
 
     def run(batches):
+        forget()
         held, spread, size = [], [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, SLICE)):
             data, off = text_bytes(batch.column(1))
             data, off = data.tobytes(), off.tolist()
             for k, (d, lists) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
@@ -402,7 +413,7 @@ def _ship(owners: int, window: int):
                     held, spread, size = [], [], 0
         if held or spread:
             yield rows(held, spread)
-        tidy()
+        _done()
 
     return run
 
@@ -459,21 +470,23 @@ def _found(known: DataFrame, window: int, gram: int, most: int) -> DataFrame:
 
     def anchors(batches):
         def flush(held):
-            doc, start, run, anchor, content = (np.concatenate(x) for x in zip(*held, strict=True))
-            found = list(_deal(owners, doc, start, run, anchor, content))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            found = list(_deal(owners, *columns))
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], ["owner", "blob"])
 
+        forget()
         held, count = [], 0
         for part in (part for batch in batches for part in slices(batch, SLICE)):
             doc, start, run, anchor, content, _ = segments(*text_bytes(part.column(1)), window, gram)
-            held.append((part.column(0).to_numpy()[doc], start, run, anchor, content))
+            held.append((part.column(0).to_numpy()[doc], start.astype(np.uint32), run.astype(np.uint8), anchor, content))
             count += len(doc)
             if count > FLUSH:
                 yield flush(held)
-                held, count = [], 0
+                count = 0
         if count:
             yield flush(held)
-        tidy()
+        _done()
 
     sent = known.mapInArrow(anchors, "owner int, blob binary")
     decided = sent.groupBy("owner").applyInArrow(lambda table: _decide(table, most, owners), _PARTS)
@@ -497,10 +510,10 @@ def _removed(size: int, lists, window: int) -> np.ndarray:
     """Which bytes go."""
     entries = np.frombuffer(b"".join(lists), ENTRY)
     entries = entries[entries["kind"] == FULL]
-    step = np.zeros(size + 1, np.int64)
+    step = np.zeros(size + 1, np.int32)
     np.add.at(step, entries["start"].astype(np.int64), 1)
     np.add.at(step, entries["start"].astype(np.int64) + entries["run"] + window - 1, -1)
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step[:-1], out=step[:-1]) > 0
 
 
 def _places(known: DataFrame) -> DataFrame | None:
@@ -534,7 +547,8 @@ def _removals(docs: DataFrame, window: int, gram: int, most: int, texts: bool) -
     joined = joined.unionByName(docs.where("doc_id is null").withColumn("lists", F.lit(None).cast("array<binary>")))
 
     def run(batches):
-        for batch in batches:
+        forget()
+        for batch in (part for whole in batches for part in slices(whole, SLICE)):
             data, off = text_bytes(batch.column(1))
             data, off = data.tobytes(), off.tolist()
             cols: list[list] = [[], [], [], [], []]
@@ -551,7 +565,7 @@ def _removals(docs: DataFrame, window: int, gram: int, most: int, texts: bool) -
             if texts:
                 arrays, names = [*arrays, pa.array(cols[4], pa.string()), batch.column(3)], [*names, "kept_text", "row"]
             yield pa.RecordBatch.from_arrays(arrays, names)
-        tidy()
+        _done()
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return joined.mapInArrow(run, f"{kinds}, kept_text string, row {docs.schema['row'].dataType.simpleString()}" if texts else kinds)

@@ -1,7 +1,8 @@
 """The pipeline against a brute-force version of its exact stages, and on odd rows."""
 
 import corpus_pipeline
-from askframe.llm import langid
+from askframe.llm import common, langid, suffixdedup
+from askframe.llm.tokens import encoder, vocabulary
 
 from .brute import near_brute
 from .test_operators import remove_brute
@@ -65,3 +66,13 @@ def test_repeated_rows_and_clashing_ids(spark):
             now = stage(spark, now, "").cache()
     assert [r["doc_id"] for r in now.orderBy("doc_id", "text").collect()] == [5, 6, 7, 8]
     assert stages["best_fit_packing"](spark, now, "").count() == 4
+
+
+def test_encoders_do_not_outlive_their_stage():
+    """A worker that packed has no encoder left when it looks for repeats, so that their memory is never needed at once."""
+    for after in (lambda: list(suffixdedup._ship(4, 100)(iter([]))), common.forget, common.tidy):
+        encoder(vocabulary())
+        common.tidy(encoding=True)
+        assert encoder.cache_info().currsize == 1
+        after()
+        assert encoder.cache_info().currsize == 0
